@@ -38,17 +38,20 @@ def combine(sums: list[Column], into: str = "decimal(38,0)") -> Column:
     """Limb sums back to one number of type ``into``.
 
     Nearly every group fits a bigint; the decimal form is evaluated only for
-    the ones where the checked bigint arithmetic gives NULL.
+    the ones whose estimate is not safely within its range.
     """
     low, mid, top = sums
     step = F.lit(1 << BITS).cast("bigint")
-    short = F.try_add(
-        low, F.try_multiply(step, F.try_add(mid, F.try_multiply(step, top)))
-    )
+    safe = F.lit(float(2**62))
+    rough = F.lit(float(1 << BITS))
+    estimate = low.cast("double") + rough * (mid.cast("double") + rough * top.cast("double"))
     wide = [s.cast("decimal(20,0)") for s in sums]
     factor = F.lit(1 << BITS).cast("decimal(8,0)")
     long = wide[0] + wide[1] * factor + (wide[2] * factor).cast("decimal(30,0)") * factor
-    return F.coalesce(short.cast(into), long.cast("decimal(38,0)").cast(into))
+    return F.when(
+        (F.abs(estimate) < safe) & (low.cast("double") < safe),
+        (low + step * (mid + step * top)).cast(into),
+    ).otherwise(long.cast("decimal(38,0)").cast(into))
 
 
 def exact_sum(value: Column) -> Column:

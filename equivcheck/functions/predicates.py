@@ -130,18 +130,12 @@ def quantiles(df: DataFrame, parts: int = 10) -> dict[str, list]:
 
 def partition_profile(df: DataFrame, predicates: list[str]) -> DataFrame:
     """Rows where each predicate is true, false and NULL: one scan for all of them."""
-    outcomes = ("n_true", "n_false", "n_null")
-    tagged = df.select(
+    outcomes = {"n_true": "{}", "n_false": "NOT {}", "n_null": "{} IS NULL"}
+    counts = df.agg(
         *[
-            F.expr(f"CASE WHEN {p} THEN 0 WHEN NOT {p} THEN 1 ELSE 2 END").alias(f"p{i}")
+            F.count_if(F.expr(form.format(f"({p})"))).alias(f"{name}{i}")
             for i, p in enumerate(predicates)
-        ]
-    )
-    counts = tagged.agg(
-        *[
-            F.count_if(F.col(f"p{i}") == k).alias(f"{name}{i}")
-            for i in range(len(predicates))
-            for k, name in enumerate(outcomes)
+            for name, form in outcomes.items()
         ]
     )
     rows = [
@@ -155,19 +149,17 @@ def partition_profile(df: DataFrame, predicates: list[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def splitting_predicates(
-    df: DataFrame, seed: int, count: int, depth: int = 3, tries: int = 40
-) -> list[str]:
+def splitting_predicates(df: DataFrame, seed: int, count: int, depth: int = 3) -> list[str]:
     """``count`` predicates that leave neither the true nor the false side empty.
 
-    At most ``tries`` candidates are profiled per pass, two passes are made;
-    predicates that split the table nowhere are used last rather than dropped.
+    Twice as many candidates are profiled in one scan, and once more if too few
+    of them split the table; the others are used last rather than dropped.
     """
     pool = ExpressionPool(df.schema, seed, quantiles(df))
     good: list[str] = []
     rest: list[str] = []
     for _ in range(2):
-        drawn = [pool.predicate(depth) for _ in range(max(tries, count))]
+        drawn = [pool.predicate(depth) for _ in range(2 * count)]
         for row in partition_profile(df, drawn).orderBy("predicate_id").collect():
             (good if row.n_true and row.n_false else rest).append(row.predicate)
         if len(good) >= count:

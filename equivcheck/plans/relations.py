@@ -53,8 +53,7 @@ class Params:
     """What origin and others of one set share.
 
     ``inner_ms`` belongs to the other side of the nested windows and has to
-    divide ``window_ms``.  ``keys`` are the grouping columns of keyed relations;
-    given to a nested window they make that one keyed as well.
+    divide ``window_ms``.  ``keys`` are the grouping columns of keyed relations.
     """
 
     field: str | None = None
@@ -71,9 +70,7 @@ def _measure(rel: Relation, df: DataFrame, p: Params) -> Measure:
 
 
 def _keys(rel: Relation, p: Params) -> Sequence[str]:
-    if rel.family == "keyagg":
-        return p.keys or ("key",)
-    return p.keys if rel.family == "winpart" else ()
+    return (p.keys or ("key",)) if rel.family == "keyagg" else ()
 
 
 def _mapped(df: DataFrame, p: Params) -> DataFrame:

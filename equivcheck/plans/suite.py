@@ -136,7 +136,7 @@ def plan_suite(
                 if rel.uses_predicate:
                     if source.name not in pools:
                         pools[source.name] = splitting_predicates(
-                            source.frame, config.seed, max(20, config.others), config.depth
+                            source.frame, config.seed, max(8, config.others), config.depth
                         )
                     predicate = rng.choice(pools[source.name])
                 elif rel.family == "winpart":
