@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equivcheck.operators.windows import stream_time
 from equivcheck.plans.relations import Params, Relation, origin, other
 from equivcheck.session import new_dir
 
@@ -29,7 +30,7 @@ def with_event_time(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
     ``delay`` must cover how far rows of one trigger may lag behind: producers
     with clocks of their own, or files that are not read in order of time.
     """
-    stamped = df.withColumn("event_time", F.timestamp_millis("ts"))
+    stamped = df.withColumn("event_time", stream_time(F.col("ts")))
     return stamped.withWatermark("event_time", delay)
 
 
