@@ -53,7 +53,8 @@ def running(
         else scanned[k] == renamed[f"{k}__key"]
         for k in keys
     ]
-    joined = scanned.join(renamed, same, "inner")
+    # Totals grow with the rows, so they are merged in and never broadcast.
+    joined = scanned.join(renamed.hint("merge"), same, "inner")
 
     def total(name: str, how: str) -> Column:
         here, earlier = F.col(name), F.col(f"{name}__before")

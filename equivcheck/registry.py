@@ -23,7 +23,7 @@ from equivcheck.operators.windows import event_millis, millis, tumbling
 from equivcheck.plans import report, suite
 from equivcheck.plans.compare import compare, diff_rows
 from equivcheck.plans.relations import RELATIONS, Params, origin, other
-from equivcheck.session import new_dir
+from equivcheck.session import new_dir, shuffle_partitions
 from equivcheck.sources import catalog, files, generate
 from equivcheck.sources.tables import EVENTS, LINEITEM, ORDERS, TableSource
 from equivcheck.streaming.bounded import stream_origin, stream_other
@@ -488,13 +488,24 @@ def replay_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streaming ------------------------------------------------------------------
 
 
+def _state_partitions(spark: SparkSession, sf_dir: str) -> int:
+    """As many as a batch scan of the table has splits, within the session's setting.
+
+    Every state partition is opened in every trigger, so a small table must not
+    have hundreds of them.
+    """
+    splits = EVENTS.read(spark, sf_dir).rdd.getNumPartitions()
+    return min(shuffle_partitions(spark), max(8, splits))
+
+
 def _streamed(name: str, side: str):
     def run(spark, sf_dir):
         rel, p = RELATIONS[name], SETTINGS["events"]
         source = EVENTS.stream(spark, sf_dir)
+        parts = _state_partitions(spark, sf_dir)
         if side == "origin":
-            return stream_origin(source, rel, p)
-        return stream_other(source, rel, p, _predicate("events", name))
+            return stream_origin(source, rel, p, partitions=parts)
+        return stream_other(source, rel, p, _predicate("events", name), partitions=parts)
 
     return run
 

@@ -40,36 +40,43 @@ def run_bounded(
     delay: str = "0 seconds",
     windows: bool = True,
     rocksdb: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Run ``build(source)`` to its end and return what it wrote.
 
     Set ``windows=False`` for queries without aggregation: they emit every row
     at once and must not see the end-of-stream row.  State is kept in RocksDB,
-    off the heap, unless told otherwise.
+    off the heap, unless told otherwise, in ``partitions`` parts per aggregation
+    (the session's shuffle partitions where not given).
     """
     spark = source.sparkSession
     base = new_dir(spark, "stream")
+    settings = {}
+    if rocksdb:
+        settings[_PROVIDER] = _ROCKSDB
+    if partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
     if not windows:
-        return _run(spark, build(with_event_time(source, delay)), base, rocksdb)
+        return _run(spark, build(with_event_time(source, delay)), base, settings)
 
     ending = f"{base}/end"
     spark.createDataFrame([], source.schema).coalesce(1).write.parquet(ending)
     ends = spark.readStream.schema(source.schema).parquet(ending)
     query = build(with_event_time(source.unionByName(ends), delay))
-    _run(spark, query, base, rocksdb)
+    _run(spark, query, base, settings)
     last = [
         F.lit(END_OF_STREAM_MS if f.name == "ts" else None).cast(f.dataType).alias(f.name)
         for f in source.schema
     ]
     spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(ending)
-    return _run(spark, query, base, rocksdb)
+    return _run(spark, query, base, settings)
 
 
-def _run(spark: SparkSession, query: DataFrame, base: str, rocksdb: bool) -> DataFrame:
-    before = spark.conf.get(_PROVIDER, None)
-    if rocksdb:
-        spark.conf.set(_PROVIDER, _ROCKSDB)
+def _run(spark: SparkSession, query: DataFrame, base: str, settings: dict[str, str]) -> DataFrame:
+    before = {name: spark.conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         running = (
             query.writeStream.format("parquet")
             .outputMode("append")
@@ -79,10 +86,12 @@ def _run(spark: SparkSession, query: DataFrame, base: str, rocksdb: bool) -> Dat
             .start()
         )
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        # a stream keeps the settings it was started with
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     running.awaitTermination()
     return spark.read.schema(query.schema).parquet(f"{base}/out")
 
