@@ -149,13 +149,15 @@ def partition_profile(df: DataFrame, predicates: list[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def splitting_predicates(df: DataFrame, seed: int, count: int, depth: int = 3) -> list[str]:
+def splitting_predicates(
+    df: DataFrame, seed: int, count: int, depth: int = 3, literals: dict[str, list] | None = None
+) -> list[str]:
     """``count`` predicates that leave neither the true nor the false side empty.
 
-    Twice as many candidates are profiled in one scan, and once more if too few
+    Literals are quantiles of the columns, taken here where not given.  Twice as many candidates are profiled in one scan, and once more if too few
     of them split the table; the others are used last rather than dropped.
     """
-    pool = ExpressionPool(df.schema, seed, quantiles(df))
+    pool = ExpressionPool(df.schema, seed, quantiles(df) if literals is None else literals)
     good: list[str] = []
     rest: list[str] = []
     for _ in range(2):

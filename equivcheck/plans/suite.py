@@ -18,6 +18,7 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equivcheck import types
 from equivcheck.functions.predicates import ExpressionPool, quantiles, splitting_predicates
@@ -123,20 +124,29 @@ def plan_suite(
     sources = list(sources)
     rng = random.Random(f"{config.seed}/{run_id}")
     pools: dict[str, list[str]] = {}
+    samples: dict[str, dict[str, list]] = {}
     cases = []
     for at, strategy in enumerate(config.relations):
         rel = RELATIONS[strategy]
         for rep in range(config.reps):
             set_id = at * config.reps + rep
             source = rng.choice(sources)
-            first = _draw_origin(rel, source, rng, config, run_id, set_id, out)
+            if rel.uses_predicate and source.name not in samples:
+                samples[source.name] = quantiles(source.frame)
+            literals = samples.get(source.name)
+            path = _result_path(out, run_id, set_id, ORIGIN)
+            first = _draw_origin(rel, source, rng, config, literals, (run_id, set_id), path)
             cases.append(first)
             for n in range(config.others):
                 predicate = inner = None
                 if rel.uses_predicate:
                     if source.name not in pools:
                         pools[source.name] = splitting_predicates(
-                            source.frame, config.seed, max(8, config.others), config.depth
+                            source.frame,
+                            config.seed,
+                            max(8, config.others),
+                            config.depth,
+                            literals,
                         )
                     predicate = rng.choice(pools[source.name])
                 elif rel.family == "winpart":
@@ -153,14 +163,11 @@ def plan_suite(
     return cases
 
 
-def _draw_origin(rel, source: SuiteSource, rng, config: SuiteConfig, run_id, set_id, out) -> Case:
+def _draw_origin(rel, source: SuiteSource, rng, config, literals, ids, path) -> Case:
     name = window = expr = None
     if rel.family == "map":
-        schema = source.frame.schema
-        bigints = [f for f in schema if f.dataType.simpleString() == "bigint"]
-        pool = ExpressionPool(schema, rng.getrandbits(32), quantiles(source.frame.select(
-            *[f.name for f in bigints])))
-        expr = pool.number(bigints[0].dataType, 1)
+        bigints = T.StructType([f for f in source.frame.schema if f.dataType == T.LongType()])
+        expr = ExpressionPool(bigints, rng.getrandbits(32), literals).number(T.LongType(), 1)
     elif rel.family != "filter":
         name = rng.choice(source.value_fields)
         if rel.family == "winpart":
@@ -168,6 +175,7 @@ def _draw_origin(rel, source: SuiteSource, rng, config: SuiteConfig, run_id, set
         else:
             window = rng.randrange(*WINDOW_MS)
         window *= config.time_scale
+    run_id, set_id = ids
     return Case(
         run_id,
         set_id,
@@ -182,7 +190,7 @@ def _draw_origin(rel, source: SuiteSource, rng, config: SuiteConfig, run_id, set
         expr,
         None,
         config.mode,
-        _result_path(out, run_id, set_id, ORIGIN),
+        path,
     )
 
 
