@@ -53,21 +53,29 @@ def _word_chars(text: Column) -> Column:
 
 
 def _symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    # Most texts have none: a look is cheaper than taking symbols out.
+    found = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.when(text.rlike(r"[#*$%&|<>]"), found).otherwise(0)
 
 
 def line_fails(line: Column) -> Column:
     """Whether one of the three rules rejects a line that has words."""
-    punctuation = ~line.rlike(r"[\p{L}\p{N}]") | (_symbols(line) * 100 > _word_chars(line) * 15)
-    parts = words(line)
-    separators = F.size(F.filter(parts, lambda w: w.isin(SEPARATORS)))
-    # Only lines with a separator are taken apart.
-    navigation = line.rlike(r"[|>»›•·/:]") & (separators >= 3) & (separators * 5 >= F.size(parts))
-    low = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    return punctuation | navigation | boilerplate
+    noisy = F.when(line.rlike(r"[#*$%&|<>]"), _symbols(line) * 100 > _word_chars(line) * 15)
+    punctuation = ~line.rlike(r"[\p{L}\p{N}]") | noisy.otherwise(False)
+
+    def separated(parts: Column) -> Column:
+        n = F.size(F.filter(parts, lambda w: w.isin(SEPARATORS)))
+        return (n >= 3) & (n * 5 >= F.size(parts))
+
+    navigation = F.when(line.rlike(r"[|>»›•·/:]"), let(words(line), separated)).otherwise(False)
+
+    def says(low: Column) -> Column:
+        found = F.lit(False)
+        for phrase in BOILERPLATE:
+            found = found | low.contains(phrase)
+        return found
+
+    return punctuation | navigation | let(F.lower(line), says)
 
 
 def _window(parts: Column, at: Column) -> list[Column]:
