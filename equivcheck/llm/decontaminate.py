@@ -63,21 +63,25 @@ class _Powers:
 _powers = _Powers()
 
 
-def _hash_part(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_part(part: bytes, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(part, np.uint8)
     edge = np.diff((data != 32).astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers.upto(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    hashes = (total[ends] - total[starts]) * down[starts]
+    stops = np.minimum(ends, starts + first) if first else ends
+    hashes = (total[stops] - total[starts]) * down[starts]
     # Spread the bits: the index of a table is taken from the high ones.
     hashes = (hashes ^ (hashes >> np.uint64(29))) * _FACTOR
     return hashes ^ (hashes >> np.uint64(32)), starts, ends
 
 
-def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word between spaces; long texts go part by part."""
+def hash_words(text: bytes, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word between spaces; long texts go part by part.
+
+    With ``first``, the hash is that of a word's first bytes.
+    """
     out, at = [], 0
     while at < len(text):
         end = len(text)
@@ -85,7 +89,7 @@ def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             cut = text.rfind(b" ", at, at + PIECE)
             cut = cut if cut > at else text.find(b" ", at + PIECE)
             end = cut if cut > at else end
-        hashes, starts, ends = _hash_part(text[at:end])
+        hashes, starts, ends = _hash_part(text[at:end], first)
         out.append((hashes, starts + at, ends + at))
         at = end
     if not out:
