@@ -173,8 +173,8 @@ def mix(
     rows = rows.join(F.broadcast(cut) if small else cut, names)
     here = F.struct(_order(seed, F.col("__whole"), F.col(id_column)).alias("__hash"), F.col(id_column).alias("__id"))
     first_part = F.substring(here["__hash"], 1, SLICE)
-    # Nothing left to draw: no prefix.  No slice that does not fit cannot happen then.
-    inside = F.when(F.col("__end").isNull(), F.lit(False)).otherwise(
+    # Nothing left to draw: no prefix, not even of documents without tokens.
+    inside = F.when(F.col("__end").isNull() | (F.col("__left") == 0), F.lit(False)).otherwise(
         (first_part < F.col("__end")) | F.coalesce(here <= F.col("__last"), F.lit(False))
     )
     times = F.col("__whole") + inside.cast("int")
