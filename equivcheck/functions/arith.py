@@ -101,11 +101,11 @@ def logical(op: str, left: str, right: str) -> str:
 
 
 def negate(predicate: str) -> str:
-    return f"(NOT {predicate})"
+    return f"(NOT ({predicate}))"
 
 
 def is_null(predicate: str) -> str:
-    return f"({predicate} IS NULL)"
+    return f"(({predicate}) IS NULL)"
 
 
 def absolute(operand: str, dtype: T.DataType) -> str:

@@ -149,21 +149,26 @@ def partition_profile(df: DataFrame, predicates: list[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+ROUNDS, PROFILED = 60, 100
+
+
 def splitting_predicates(
     df: DataFrame, seed: int, count: int, depth: int = 3, literals: dict[str, list] | None = None
 ) -> list[str]:
     """``count`` predicates that leave neither the true nor the false side empty.
 
-    Literals are quantiles of the columns, taken here where not given.  Twice as many candidates are profiled in one scan, and once more if too few
-    of them split the table; the others are used last rather than dropped.
+    Literals are quantiles of the columns, taken here where not given.  All are different.  Twice
+    as many candidates as are still wanted are profiled in one scan, until there are enough; a
+    table that ``ROUNDS`` scans do not split often enough is an error.
     """
     pool = ExpressionPool(df.schema, seed, quantiles(df) if literals is None else literals)
-    good: list[str] = []
-    rest: list[str] = []
-    for _ in range(2):
-        drawn = [pool.predicate(depth) for _ in range(2 * count)]
-        for row in partition_profile(df, drawn).orderBy("predicate_id").collect():
-            (good if row.n_true and row.n_false else rest).append(row.predicate)
+    good: dict[str, None] = {}
+    for _ in range(ROUNDS):
+        # A scan profiles a bounded number: its plan has three counts for each.
+        drawn = [pool.predicate(depth) for _ in range(min(PROFILED, 2 * (count - len(good)) + 6))]
+        for row in partition_profile(df, list(dict.fromkeys(drawn))).orderBy("predicate_id").collect():
+            if row.n_true and row.n_false and len(good) < count:
+                good[row.predicate] = None
         if len(good) >= count:
-            break
-    return (good + rest)[:count]
+            return list(good)
+    raise ValueError(f"only {len(good)} of {count} predicates split the table")

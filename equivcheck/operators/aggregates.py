@@ -54,12 +54,12 @@ class Measure:
             value = F.max(col)
         elif self.agg == "sum":
             value = self._sum_value(list(self._sum_parts().values()))
-        elif self._digits is None:
+        elif self._digits is None and not isinstance(self.dtype, T.DecimalType):
             value = F.avg(col)
-            if isinstance(self.dtype, T.DecimalType):
-                value = value.cast("double")
         else:
-            value = F.avg(exact.unscaled(col, self._digits)) / F.lit(float(10**self._digits))
+            # The exact sum, divided once: avg(bigint) would add up doubles.
+            sums = list(self._sum_parts().values())
+            value = self._avg_value(sums, F.count(col))
         return {self.name: value}
 
     def partial(self) -> dict[str, Column]:
@@ -86,12 +86,13 @@ class Measure:
         sums = [F.col(n) for n in self._sum_parts()]
         if self.agg == "sum":
             return {self.name: self._sum_value(sums)}
+        return {self.name: self._avg_value(sums, F.col("count"))}
+
+    def _avg_value(self, sums: list[Column], count: Column) -> Column:
         if self._digits is None:
-            return {self.name: F.try_divide(sums[0].cast("double"), F.col("count"))}
-        total = exact.combine(sums, "double")
-        return {
-            self.name: F.try_divide(total, F.col("count")) / F.lit(float(10**self._digits))
-        }
+            return F.try_divide(sums[0].cast("double"), count)
+        total = F.try_divide(exact.combine(sums, "double"), count)
+        return total / F.lit(float(10**self._digits))
 
     def _sum_parts(self) -> dict[str, Column]:
         col = F.col(self.field)

@@ -26,5 +26,5 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def tagged(df: DataFrame, predicate: str, tag: str = "branch") -> DataFrame:
     """The same three parts as a column, so that one scan serves all of them."""
     return df.withColumn(
-        tag, F.expr(f"CASE WHEN {predicate} THEN 0 WHEN NOT {predicate} THEN 1 ELSE 2 END")
+        tag, F.expr(f"CASE WHEN ({predicate}) THEN 0 WHEN NOT ({predicate}) THEN 1 ELSE 2 END")
     )

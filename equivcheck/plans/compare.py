@@ -25,6 +25,8 @@ from equivcheck.session import shuffle_partitions, written
 
 # Verdict names, and the absolute tolerance for floats.
 EQUAL, REORDERED, DIFF, ERROR = "Equal", "Reordered", "Diff", "Error"
+# Not certain: no pairing within tolerance was found, but not all were tried.
+UNKNOWN = "Unknown"
 ATOL = 1e-3
 
 RTOL = 1e-9
@@ -35,9 +37,9 @@ GROUP_LIMIT = 1_000_000
 class Verdict:
     """``differing`` counts rows without an exact partner on the other side.
 
-    ``tolerant`` marks results that agree only within tolerance.  ``maybe`` marks
-    a ``Diff`` found by pairing several floating-point columns at once, where a
-    group of several rows might still have a pairing that was not tried.
+    ``tolerant`` marks results that agree only within tolerance.  ``Unknown`` (and ``maybe``) is
+    said where several floating-point columns were paired at once and a group of several rows
+    might still have a pairing that was not tried: never a ``Diff`` that may be none.
     """
 
     relation: str
@@ -107,7 +109,7 @@ def compare(
     """
     conflict = schema_conflict(left, right)
     if conflict:
-        return Verdict(ERROR, reason=conflict)
+        return Verdict(ERROR, left.count(), right.count(), reason=conflict)
 
     if pos is not None:
         # position last, so that the columns in front are those of the plain bag
@@ -141,7 +143,7 @@ def compare(
     paired = pairs_within_tolerance(_counted(left, right), floats, atol, rtol, group_limit)
     if paired:
         return Verdict(REORDERED, tolerant=True, **counts)
-    return Verdict(DIFF, maybe=paired is None, **counts)
+    return Verdict(UNKNOWN if paired is None else DIFF, maybe=paired is None, **counts)
 
 
 def pairs_within_tolerance(

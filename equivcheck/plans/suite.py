@@ -14,6 +14,7 @@ import threading
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, fields, replace
+from functools import reduce
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from equivcheck import types
 from equivcheck.functions.predicates import ExpressionPool, quantiles, splitting_predicates
-from equivcheck.plans.compare import ATOL, DIFF, RTOL, compare, diff_rows
+from equivcheck.plans.compare import ATOL, DIFF, ERROR, RTOL, Verdict, compare, diff_rows
 from equivcheck.plans.relations import RELATIONS, Params, origin, other
 from equivcheck.plans.report import FAILED, SKIPPED, SUCCESS, TIMED_OUT
 
@@ -63,7 +64,7 @@ class SuiteConfig:
     depth: int = 3
     seed: int = 0
     time_scale: int = 1
-    mode: str = "union"
+    mode: str | None = None  # None: tagged where it gives the same rows in one scan
     timeout_s: float | None = None
     parallel_sets: int = 1
     atol: float = ATOL
@@ -117,13 +118,20 @@ RESULT_SCHEMA = (
 )
 
 
+SCHEMAS = {
+    "test_sets": CASE_SCHEMA,
+    "test_set_execs": EXEC_SCHEMA,
+    "test_set_results": RESULT_SCHEMA,
+}
+
+
 def plan_suite(
     sources: Iterable[SuiteSource], config: SuiteConfig, out: str, run_id: int = 0
 ) -> list[Case]:
-    """Draw all cases of a run from its seed.  Predicates are profiled once per source."""
+    """Draw all cases of a run from its seed.  Each other has a predicate of its own."""
     sources = list(sources)
     rng = random.Random(f"{config.seed}/{run_id}")
-    pools: dict[str, list[str]] = {}
+    wanting: dict[str, list[int]] = {}
     samples: dict[str, dict[str, list]] = {}
     cases = []
     for at, strategy in enumerate(config.relations):
@@ -140,15 +148,7 @@ def plan_suite(
             for n in range(config.others):
                 predicate = inner = None
                 if rel.uses_predicate:
-                    if source.name not in pools:
-                        pools[source.name] = splitting_predicates(
-                            source.frame,
-                            config.seed,
-                            max(8, config.others),
-                            config.depth,
-                            literals,
-                        )
-                    predicate = rng.choice(pools[source.name])
+                    wanting.setdefault(source.name, []).append(len(cases))
                 elif rel.family == "winpart":
                     inner = first.window_ms // rng.choice(INNER_DIVISORS)
                 cases.append(
@@ -160,6 +160,12 @@ def plan_suite(
                         result_path=_result_path(out, run_id, set_id, f"Other{n}"),
                     )
                 )
+    frames = {s.name: s.frame for s in sources}
+    for name, places in wanting.items():
+        seed = rng.getrandbits(32)
+        drawn = splitting_predicates(frames[name], seed, len(places), config.depth, samples[name])
+        for place, predicate in zip(places, drawn, strict=True):
+            cases[place] = replace(cases[place], predicate=predicate)
     return cases
 
 
@@ -189,7 +195,7 @@ def _draw_origin(rel, source: SuiteSource, rng, config, literals, ids, path) ->
         source.key,
         expr,
         None,
-        config.mode,
+        config.mode or ("tagged" if rel.family in ("agg", "keyagg") else "union"),
         path,
     )
 
@@ -217,7 +223,10 @@ def execute(case: Case, sources: dict[str, SuiteSource], timeout_s: float | None
     try:
         if timer:
             timer.start()
-        case.build(sources[case.source]).write.mode("overwrite").parquet(case.result_path)
+        frame = case.build(sources[case.source])
+        if expired.is_set():  # while the query was being planned there was no job to cancel
+            return TIMED_OUT, None
+        frame.write.mode("overwrite").parquet(case.result_path)
         return SUCCESS, None
     except Exception as error:  # a failed query is a finding of the suite, not the end of it
         return (TIMED_OUT, None) if expired.is_set() else (FAILED, str(error).split("\n")[0])
@@ -249,7 +258,10 @@ def run_set(
         status, reason = execute(case, sources, config.timeout_s)
         note(case, status, reason)
         if status == SUCCESS:
-            verdict = judge(spark, first, case, config)
+            try:
+                verdict = judge(spark, first, case, config)
+            except Exception as error:  # a comparison that fails is a finding as well
+                verdict = Verdict(ERROR, reason=str(error).split("\n")[0])
             head = (case.run_id, case.set_id, case.case_id, case.strategy)
             results.append((*head, *asdict(verdict).values()))
     return execs, results
@@ -277,6 +289,25 @@ def run_suite(
     return run_cases(spark, sources, cases, config, run_dir(out, run_id))
 
 
+def run_suites(
+    spark: SparkSession, sources: Iterable[SuiteSource], config: SuiteConfig, out: str, runs: int
+) -> tuple[DataFrame, DataFrame]:
+    """Several runs, each with predicates of its own; executions and verdicts of all of them."""
+    sources = list(sources)
+    for run_id in range(runs):
+        run_suite(spark, sources, config, out, run_id)
+    return stored_runs(spark, out, runs)
+
+
+def stored_runs(spark: SparkSession, out: str, runs: int) -> tuple[DataFrame, DataFrame]:
+    """Executions and verdicts of stored runs, as the reports take them."""
+    tables = []
+    for name in ("test_set_execs", "test_set_results"):
+        parts = [read_table(spark, run_dir(out, i), name) for i in range(runs)]
+        tables.append(reduce(DataFrame.unionByName, parts))
+    return tables[0], tables[1]
+
+
 def run_cases(
     spark: SparkSession,
     sources: Iterable[SuiteSource],
@@ -290,8 +321,19 @@ def run_cases(
         sets.setdefault(case.set_id, []).append(case)
     done: dict[int, tuple] = {}
 
+    def store(name: str, part: str, rows: list[tuple]) -> None:
+        frame = spark.createDataFrame(rows, SCHEMAS[name])
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{target}/{name}/{part}")
+
     def work(set_id: int) -> None:
         done[set_id] = run_set(spark, sets[set_id], by_name, config)
+        # What a set found is kept, whatever becomes of the sets after it.
+        for name, rows in zip(("test_set_execs", "test_set_results"), done[set_id], strict=True):
+            store(name, f"set-{set_id}", rows)
+
+    store("test_sets", "all", [tuple(asdict(c).values()) for c in cases])
+    for name in ("test_set_execs", "test_set_results"):
+        store(name, "none", [])
 
     if config.parallel_sets > 1:
         # Sets are independent; their jobs share the cluster.
@@ -306,27 +348,13 @@ def run_cases(
         for set_id in sets:
             work(set_id)
 
-    execs = [row for set_id in sets for row in done[set_id][0]]
-    results = [row for set_id in sets for row in done[set_id][1]]
-    tables = {
-        "test_sets": ([tuple(asdict(c).values()) for c in cases], CASE_SCHEMA),
-        "test_set_execs": (execs, EXEC_SCHEMA),
-        "test_set_results": (results, RESULT_SCHEMA),
-    }
-    for name, (rows, schema) in tables.items():
-        frame = spark.createDataFrame(rows, schema)
-        frame.coalesce(1).write.mode("overwrite").parquet(f"{target}/{name}")
     return read_table(spark, target, "test_set_results")
 
 
 def read_table(spark: SparkSession, target: str, name: str) -> DataFrame:
     """One of the run's tables: ``test_sets``, ``test_set_execs`` or ``test_set_results``."""
-    schema = {
-        "test_sets": CASE_SCHEMA,
-        "test_set_execs": EXEC_SCHEMA,
-        "test_set_results": RESULT_SCHEMA,
-    }[name]
-    return spark.read.schema(schema).parquet(f"{target}/{name}")
+    stored = spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", True)
+    return stored.parquet(f"{target}/{name}")
 
 
 def load_cases(

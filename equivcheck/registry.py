@@ -6,7 +6,8 @@ gives the same rows.
 
 from __future__ import annotations
 
-from dataclasses import asdict
+from dataclasses import asdict, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,10 @@ from equivcheck.operators.windows import event_millis, millis, tumbling
 from equivcheck.plans import report, suite
 from equivcheck.plans.compare import compare, diff_rows
 from equivcheck.plans.relations import RELATIONS, Params, origin, other
-from equivcheck.session import new_dir, shuffle_partitions
+from equivcheck.session import new_dir
 from equivcheck.sources import catalog, files, generate
 from equivcheck.sources.tables import EVENTS, LINEITEM, ORDERS, TableSource
-from equivcheck.streaming.bounded import stream_origin, stream_other
+from equivcheck.streaming.bounded import run_bounded, stream_origin, stream_other
 
 HOUR = millis(1, "hours")
 DAY = millis(1, "days")
@@ -248,7 +249,7 @@ def merged_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def from_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = "equivcheck_events"
     catalog.register(_identified(spark, sf_dir), name)
-    return catalog.from_source(spark, name).where("value > 10")
+    return catalog.from_source(spark, name)
 
 
 def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +387,7 @@ def compare_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A changed column class is an error, whatever the values are."""
     left = _identified(spark, sf_dir)
     right = left.withColumn("value", F.col("value").cast("string"))
-    return _judged(left, right).select("relation")
+    return _judged(left, right).select("relation", "left_rows", "right_rows")
 
 
 def diff_of_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,6 +451,39 @@ def _suite_sources(spark: SparkSession, sf_dir: str) -> list[suite.SuiteSource]:
     ]
 
 
+def suite_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Others of two planned runs and their different predicates: one for each other."""
+    config = suite.SuiteConfig(relations=("Filter", "AggSum", "KeyAggAvg"), reps=2, others=4, seed=3)
+    planned = [
+        (c.run_id, c.source, c.predicate)
+        for run_id in range(2)
+        for c in suite.plan_suite(_suite_sources(spark, sf_dir), config, "unused", run_id)
+        if c.predicate is not None
+    ]
+    rows = spark.createDataFrame(planned, "run_id INT, source STRING, predicate STRING")
+    different = F.count_distinct("source", "predicate")
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("others"), different.alias("predicates"))
+
+
+def report_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of two runs of a suite, from their stored tables."""
+    config = suite.SuiteConfig(
+        relations=("Filter", "KeyAggSum"), reps=1, others=2, seed=5, time_scale=3600, parallel_sets=2
+    )
+    out = new_dir(spark, "runs")
+    execs, results = suite.run_suites(spark, _suite_sources(spark, sf_dir), config, out, 2)
+    return report.summary(execs, results)
+
+
+def avg_bigint(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """Averages of integers far beyond what doubles hold."""
+    rows = LINEITEM.read(spark, sf_dir).select(
+        "ts", "key", (F.col("ts") * 1_000_003 + F.col("key") * 7).alias("wide")
+    )
+    rel, p = RELATIONS["KeyAggAvg"], replace(SETTINGS["lineitem"], field="wide", scale=None)
+    return origin(rel, rows, p) if side == "origin" else other(rel, rows, p, "key % 3 = 1 OR ts % 2 = 0")
+
+
 def suite_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random suite with one set per relation: every verdict of it."""
     config = suite.SuiteConfig(reps=1, others=1, seed=5, time_scale=3600, parallel_sets=4)
@@ -488,42 +522,45 @@ def replay_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streaming ------------------------------------------------------------------
 
 
-def _state_partitions(spark: SparkSession, sf_dir: str) -> int:
-    """As many as a batch scan of the table has splits, within the session's setting.
-
-    Every state partition is opened in every trigger, so a small table must not
-    have hundreds of them.
-    """
-    splits = EVENTS.read(spark, sf_dir).rdd.getNumPartitions()
-    return min(shuffle_partitions(spark), max(8, splits))
-
-
 def _streamed(name: str, side: str):
     def run(spark, sf_dir):
         rel, p = RELATIONS[name], SETTINGS["events"]
         source = EVENTS.stream(spark, sf_dir)
-        parts = _state_partitions(spark, sf_dir)
         if side == "origin":
-            return stream_origin(source, rel, p, partitions=parts)
-        return stream_other(source, rel, p, _predicate("events", name), partitions=parts)
+            return stream_origin(source, rel, p)
+        return stream_other(source, rel, p, _predicate("events", name))
 
     return run
 
 
 STREAMED = {
     f"stream_{relation_key(name)}_{side}": (name, side)
-    for name, side in (
-        ("Filter", "other"),
-        ("Map", "other"),
-        ("AggCount", "other"),
-        ("KeyAggSum", "origin"),
-        ("KeyAggSum", "other"),
-        ("KeyAggAvg", "other"),
-        ("WinPartSum", "other"),
-        ("WinPartMax", "other"),
-    )
+    for name in RELATIONS
+    for side in ("origin", "other")
 }
 
+
+def stream_many_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in six files, each over the whole span of time, two of them per trigger."""
+    path = new_dir(spark, "files")
+    rows = _identified(spark, sf_dir)
+    dealt = rows.repartition(6, F.col("event_id") % 6)
+    dealt.write.parquet(path)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    p = SETTINGS["events"]
+    return stream_other(source, RELATIONS["AggCount"], p, _predicate("events", "AggCount"))
+
+
+def stream_csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as CSV by five producers and taken as a stream, row by row."""
+    path = new_dir(spark, "producers")
+    rows = _identified(spark, sf_dir)
+    produced = rows.withColumn("producer", F.col("event_id") % PRODUCERS)
+    produced.write.partitionBy("producer").option("header", True).csv(path)
+    source = files.stream_producers(spark, rows.schema, f"{path}/*")
+    return run_bounded(source, lambda df: df.drop("event_time"), windows=False)
+
+
 OPERATORS = [
     scalar_arithmetic,
     predicate_operators,
@@ -555,7 +592,11 @@ OPERATORS = [
     suite_rollup,
     suite_totals,
     suite_rate_variance,
+    suite_predicates,
+    report_of_runs,
     suite_verdicts,
+    stream_many_triggers,
+    stream_csv_source,
     replay_pair,
 ]
 
@@ -567,4 +608,5 @@ def all_queries() -> dict:
         | {f"winpart_sum_other_by{n}": _nested(n) for n in suite.INNER_DIVISORS}
         | {f.__name__: f for f in OPERATORS}
         | {key: _streamed(*of) for key, of in STREAMED.items()}
+        | {f"avg_bigint_{side}": partial(avg_bigint, side=side) for side in ("origin", "other")}
     )

@@ -93,6 +93,12 @@ def _bags(left: str, right: str, columns: str, close: str | None = None) -> str:
     """
 
 
+def _avg_bigint() -> str:
+    d = SETTINGS["lineitem"].window_ms
+    return f"""SELECT (ts // {d}) * {d} AS start, (ts // {d}) * {d} + {d} AS "end", key,
+        sum((ts * 1000003 + key * 7)::HUGEINT)::DOUBLE / count(*) AS wide FROM {LINEITEM} GROUP BY ALL"""
+
+
 def _ranked(by: float) -> str:
     typed = "SELECT event_type, value FROM events"
     far = """NOT EXISTS (
@@ -351,7 +357,9 @@ def all_sql() -> dict[str, str]:
             "multi_source_union": identified,
             "merged_producers": f"SELECT ts, key, value FROM {EVENTS} UNION ALL "
             "SELECT epoch_us(o_orderdate) // 1000, o_custkey, o_totalprice FROM orders",
-            "from_source": f"{identified} WHERE value > 10",
+            "from_source": identified,
+            "stream_csv_source": identified,
+            "stream_many_triggers": f"{counts} GROUP BY ALL",
             "csv_sink": keyed,
             "typed_header_read": identified,
             "declared_ranges": """
@@ -366,9 +374,15 @@ def all_sql() -> dict[str, str]:
             "generated_stream_stats": f"SELECT event_id % {PRODUCERS} AS producer, count(*) AS records, "
             "count(DISTINCT event_id) AS positions, 0::BIGINT AS outside FROM events GROUP BY 1",
             "compare_equal": _bags(li_keyed, li_keyed, "*"),
-            "compare_reordered": _bags(
-                f"{identified}", f"{identified} ORDER BY event_id DESC", "*"
-            ).replace("'Equal'", "'Reordered'"),
+            "compare_reordered": f"""
+                WITH l AS (SELECT *, event_id AS pos FROM ({identified})),
+                r AS (SELECT * REPLACE (-pos AS pos) FROM l),
+                n AS (SELECT (SELECT count(*) FROM l) AS left_rows, (SELECT count(*) FROM r) AS right_rows,
+                (SELECT count(*) FROM (SELECT * EXCLUDE (pos) FROM l EXCEPT ALL SELECT * EXCLUDE (pos) FROM r))
+                + (SELECT count(*) FROM (SELECT * EXCLUDE (pos) FROM r EXCEPT ALL SELECT * EXCLUDE (pos) FROM l))
+                AS differing, (SELECT count(*) FROM (FROM l EXCEPT ALL FROM r)) AS moved)
+                SELECT CASE WHEN differing > 0 THEN 'Diff' WHEN moved > 0 THEN 'Reordered' ELSE 'Equal' END
+                AS relation, left_rows, right_rows, differing, FALSE AS tolerant FROM n""",
             "compare_missing": _bags(
                 f"SELECT * FROM {LINEITEM}", f"SELECT * FROM {LINEITEM} WHERE key <> 7", "*"
             ),
@@ -386,7 +400,7 @@ def all_sql() -> dict[str, str]:
             "compare_tolerance_blocks": _ranked(0.0004),
             "compare_beyond_tolerance": _ranked(0.002),
             "compare_types": "SELECT CASE WHEN typeof(any_value(value)) <> 'VARCHAR' THEN 'Error' "
-            "ELSE 'Equal' END AS relation FROM events",
+            "ELSE 'Equal' END AS relation, count(*) AS left_rows, count(*) AS right_rows FROM events",
             "diff_of_results": f"""
                 WITH l AS ({counts} GROUP BY ALL), r AS ({rest})
                 SELECT 'left' AS side, 1::BIGINT AS n, * FROM (FROM l EXCEPT ALL FROM r)
@@ -396,6 +410,10 @@ def all_sql() -> dict[str, str]:
             "suite_totals": _summary("CUBE (run_id, strategy)"),
             "suite_rate_variance": f"SELECT strategy, {spread} "
             f"FROM ({_summary('run_id, strategy')}) GROUP BY strategy",
+            # Three relations, two sets each, four others: a predicate of its own for each.
+            "suite_predicates": "SELECT i::INTEGER AS run_id, 3 * 2 * 4::BIGINT AS others, "
+            "3 * 2 * 4::BIGINT AS predicates FROM range(2) r(i)",
+            **{f"avg_bigint_{side}": _avg_bigint() for side in ("origin", "other")},
             "suite_verdicts": "SELECT i::INTEGER AS set_id, 'Other0' AS case_id, name AS strategy, "
             "'Equal' AS relation FROM (VALUES "
             + ", ".join(f"({i}, '{n}')" for i, n in enumerate(RELATIONS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,16 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one temporary folder per application where unset."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session (one machine, one process) gets a temporary folder; on a
+    cluster that is an error, as every executor would write to a disk of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="run-")
@@ -26,10 +33,18 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/equivcheck-{label}-{uuid.uuid4().hex}"
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables live as long as the application."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, values are fixed."""
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
+    _remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

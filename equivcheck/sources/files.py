@@ -25,8 +25,9 @@ def read_producers(
 
 
 def stream_producers(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    """The same as a stream over a folder that producers write CSV files to."""
-    return spark.readStream.schema(schema).option("header", True).csv(path)
+    """The same as a stream over a folder that producers write CSV files to, as strict."""
+    reader = spark.readStream.schema(schema).option("header", True).option("mode", "FAILFAST")
+    return reader.csv(path)
 
 
 def merge_producers(frames: Sequence[DataFrame]) -> DataFrame:
@@ -66,17 +67,22 @@ def read_typed_csv(
     """Read result files by the types in their header.
 
     The header does not tell signed from unsigned: name the fields that may
-    exceed a signed 64-bit integer in ``unsigned``.
+    exceed a signed 64-bit integer in ``unsigned``.  A file whose header differs from that of the
+    others fails the query.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    named = header_fields(spark.read.option("header", True).csv(paths).columns)
+    header = spark.read.option("header", True).csv(paths).columns
+    named = header_fields(header)
     schema = T.StructType(
         [
             T.StructField(f.name, T.DecimalType(20, 0) if f.name in unsigned else f.dataType)
             for f in named
         ]
     )
-    return read_producers(spark, schema, paths)
+    # Columns keep their header text while reading, so that each file's header is checked.
+    texts = T.StructType([T.StructField(h, f.dataType) for h, f in zip(header, schema)])
+    reader = spark.read.schema(texts).option("header", True).option("mode", "FAILFAST")
+    return reader.option("enforceSchema", False).csv(paths).toDF(*schema.names)
 
 
 def write_typed_csv(df: DataFrame, path: str, stream: str) -> None:

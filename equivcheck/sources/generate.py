@@ -214,12 +214,17 @@ def generate_sources(
     return [generate_source(spark, s, seed, producers, records) for s in named]
 
 
-def write_producers(generated: GeneratedSource, path: str) -> list[str]:
+def write_producers(
+    generated: GeneratedSource, path: str, producers: int | None = None
+) -> list[str]:
     """Write one CSV folder with header per producer; returns their paths.
 
-    The list of paths is as long as the list of producers.
+    The list of paths is as long as the list of producers.  With their number given they are not
+    looked for in the rows.
     """
     frame = generated.frame.drop("row")
     frame.write.partitionBy("producer").option("header", True).csv(path)
+    if producers is not None:
+        return [f"{path}/producer={i}" for i in range(producers)]
     known = frame.select("producer").distinct().orderBy("producer").collect()
     return [f"{path}/producer={r.producer}" for r in known]

@@ -20,15 +20,19 @@ from equivcheck.session import new_dir
 # 9999-12-31 23:59:59.999 UTC.  The window it falls into never closes.
 END_OF_STREAM_MS = 253_402_300_799_999
 
+# Longer than any bounded input spans: no row is late, however many triggers take the input and
+# in whatever order.  The end-of-stream row is far enough away to close all windows all the same.
+WHOLE_SPAN = "365000 days"
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def with_event_time(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def with_event_time(df: DataFrame, delay: str = WHOLE_SPAN) -> DataFrame:
     """Add the watermarked event time to a streaming source with ``ts`` in epoch ms.
 
-    ``delay`` must cover how far rows of one trigger may lag behind: producers
-    with clocks of their own, or files that are not read in order of time.
+    A shorter ``delay`` frees state earlier; it must cover how far rows may lag behind those
+    of earlier triggers: producers with clocks of their own, files not in order of time.
     """
     stamped = df.withColumn("event_time", stream_time(F.col("ts")))
     return stamped.withWatermark("event_time", delay)
@@ -37,7 +41,7 @@ def with_event_time(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
 def run_bounded(
     source: DataFrame,
     build: Callable[[DataFrame], DataFrame],
-    delay: str = "0 seconds",
+    delay: str = WHOLE_SPAN,
     windows: bool = True,
     rocksdb: bool = True,
     partitions: int | None = None,
@@ -47,7 +51,8 @@ def run_bounded(
     Set ``windows=False`` for queries without aggregation: they emit every row
     at once and must not see the end-of-stream row.  State is kept in RocksDB,
     off the heap, unless told otherwise, in ``partitions`` parts per aggregation
-    (the session's shuffle partitions where not given).
+    (the session's shuffle partitions where not given).  Rows that come later than ``delay``
+    allows are an error, never dropped in silence.
     """
     spark = source.sparkSession
     base = new_dir(spark, "stream")
@@ -93,6 +98,13 @@ def _run(spark: SparkSession, query: DataFrame, base: str, settings: dict[str, s
             else:
                 spark.conf.set(name, value)
     running.awaitTermination()
+    late = sum(
+        state["numRowsDroppedByWatermark"]
+        for progress in running.recentProgress
+        for state in progress["stateOperators"]
+    )
+    if late:
+        raise ValueError(f"{late} rows came later than the delay allows; give a longer delay")
     return spark.read.schema(query.schema).parquet(f"{base}/out")
 
 
