@@ -354,7 +354,8 @@ def run_cases(
 def read_table(spark: SparkSession, target: str, name: str) -> DataFrame:
     """One of the run's tables: ``test_sets``, ``test_set_execs`` or ``test_set_results``."""
     stored = spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", True)
-    return stored.parquet(f"{target}/{name}")
+    # One file per set: the rows are as many as the suite has cases.
+    return stored.parquet(f"{target}/{name}").orderBy("run_id", "set_id", "case_id")
 
 
 def load_cases(
