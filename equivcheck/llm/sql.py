@@ -1,5 +1,107 @@
-"""DuckDB SQL with the rows of the queries, where SQL can say them."""
+"""DuckDB SQL with the rows of the queries, where SQL can say them.
+
+The others are held against plain Python in the tests: XXH64 fingerprints and components, random
+vectors, trained models, Feistel rounds, and mixtures and replies, whose steps are not single queries.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from equivcheck.llm.quality import BOILERPLATE, SEPARATORS, SYMBOLS
+from equivcheck.llm.queries import SITES
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACES = r"[\x20\x09-\x0D]+"
+
+
+def _listed(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{_SPACES}'), lambda w: w <> '')"
+
+
+def _covered(found: str) -> str:
+    """Words in the union of spans (rid, first word, number of words)."""
+    return f"SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i, unnest(range(n)) AS k FROM {found}) GROUP BY rid"
+
+
+def _quality() -> str:
+    chars = f"length(regexp_replace(x, '{_SPACES}', '', 'g'))"
+    symbols = f"length(x) - length(translate(x, '{SYMBOLS}', ''))"
+    phrases = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+    separators = f"len(list_filter({_words('x')}, lambda y: y IN ({_listed(SEPARATORS)})))"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, {_words('t')} AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+    g AS (SELECT rid, i, 8 AS n, array_to_string(ws[i : i + 7], ' ') AS g
+        FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+    twice AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+    repeated AS ({_covered('twice')}),
+    lines AS (SELECT rid, unnest(ls) AS x FROM w),
+    lost AS (SELECT rid, sum({chars}) AS n FROM lines
+        WHERE NOT regexp_matches(x, '[\\p{{L}}\\p{{N}}]') OR ({symbols}) * 100 > {chars} * 15
+        OR ({separators} >= 3 AND {separators} * 5 >= len({_words('x')})) OR {phrases} GROUP BY rid),
+    c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACES}', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
+        coalesce(lost.n, 0)::BIGINT AS lost_chars
+        FROM w LEFT JOIN repeated USING (rid) LEFT JOIN lost USING (rid))
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars * 100 <= word_chars * 50 AS kept FROM c
+    """
+
+
+def _contamination() -> str:
+    words = (
+        f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+        r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS ws FROM documents),
+    b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS ws FROM benchmark),
+    pat AS (SELECT DISTINCT item, n, array_to_string(ws[i : i + n - 1], ' ') AS g FROM (
+        SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i
+        FROM b WHERE len(ws) > 0)),
+    seen AS (SELECT rid, n, i, array_to_string(ws[i : i + n - 1], ' ') AS g FROM (
+        SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+        FROM d, (SELECT DISTINCT n FROM pat) WHERE len(ws) >= n)),
+    occ AS (SELECT rid, i, n, item FROM seen JOIN pat USING (n, g)),
+    hits AS ({_covered('occ')}),
+    items AS (SELECT rid, list_sort(list(DISTINCT item)) AS items FROM occ GROUP BY rid)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit,
+        coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+        coalesce(hits.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
+    """
+
+
+def _urls() -> str:
+    sites = ", ".join(
+        f"('{name}', '{verdict}', '{name.partition('/')[0]}', '/{name.partition('/')[2]}')" for name, verdict in SITES
+    )
+    # The globs of queries.BLOCKED.
+    blocked = (
+        "contains(host, 'ads-track') OR contains(host, 'spam-') OR contains(host, 'adult-') "
+        "OR contains(host, 'casino') OR contains(path, '/ads/') OR ends_with(path, '.exe')"
+    )
+    return f"""
+    WITH p AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+        THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM p),
+    x AS (SELECT page_id, translate(raw, '{_UPPER}', '{_LOWER}') AS host,
+        regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM h),
+    r(name, verdict, h, p) AS (VALUES {sites}),
+    f AS (SELECT x.*, (SELECT max_by(name, length(name)) FROM r
+        WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM x)
+    SELECT page_id, host, path, rule, coalesce((SELECT verdict FROM r WHERE name = rule),
+        CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict FROM f
+    """
+
+
+SQL: dict[str, str] = {
+    "op1_quality_rules": _quality(),
+    "op4_decontamination": _contamination(),
+    "op10_url_filter": _urls(),
+}
