@@ -413,6 +413,12 @@ def all_sql() -> dict[str, str]:
             # Three relations, two sets each, four others: a predicate of its own for each.
             "suite_predicates": "SELECT i::INTEGER AS run_id, 3 * 2 * 4::BIGINT AS others, "
             "3 * 2 * 4::BIGINT AS predicates FROM range(2) r(i)",
+            # Two runs of two relations with an origin and two others each, all of them right.
+            "report_of_runs": "SELECT r::INTEGER AS run_id, s AS strategy, 3::BIGINT AS total_count, "
+            "3::BIGINT AS success_count, 0::BIGINT AS fail_count, 0::BIGINT AS timeout_count, "
+            "0::BIGINT AS skipped_count, 2::BIGINT AS total_res_count, 2::BIGINT AS equal_count, "
+            "0::BIGINT AS reorder_count, 0::BIGINT AS diff_count, 1::DOUBLE AS exec_success_rate, "
+            "1::DOUBLE AS eval_success_rate FROM range(2) a(r), (VALUES ('Filter'), ('KeyAggSum')) b(s)",
             **{f"avg_bigint_{side}": _avg_bigint() for side in ("origin", "other")},
             "suite_verdicts": "SELECT i::INTEGER AS set_id, 'Other0' AS case_id, name AS strategy, "
             "'Equal' AS relation FROM (VALUES "
