@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_AGG = {"sum": F.sum, "max": F.max}
+_AGG = {"sum": F.sum, "max": F.max, "max_before": F.max}
 
 
 def running(
@@ -23,11 +23,18 @@ def running(
     outputs: dict[str, tuple[str, str]],
     block: str | None = None,
 ) -> DataFrame:
-    """Add ``outputs[name] = (sum|max, column)`` as inclusive running values along ``order``."""
-    inner = Window.partitionBy(*group, *([block] if block else [])).orderBy(*order)
-    inner = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Add ``outputs[name] = (sum|max, column)`` as inclusive running values along ``order``.
+
+    ``max_before`` leaves the row itself out.
+    """
+    along = Window.partitionBy(*group, *([block] if block else [])).orderBy(*order)
+
+    def inner(how: str):
+        last = -1 if how == "max_before" else Window.currentRow
+        return along.rowsBetween(Window.unboundedPreceding, last)
+
     scanned = df.select(
-        "*", *[_AGG[how](col).over(inner).alias(name) for name, (how, col) in outputs.items()]
+        "*", *[_AGG[how](col).over(inner(how)).alias(name) for name, (how, col) in outputs.items()]
     )
     if block is None:
         return scanned

@@ -8,8 +8,10 @@ The tolerant part runs only where the exact one finds a difference and there
 are floating-point columns.  Within each group of equal exact columns it pairs
 the k-th smallest value of one side with the k-th smallest of the other; for one
 floating-point column this finds a pairing within tolerance whenever there is
-one.  Counts stay counts: a value that occurs a billion times is one run of
-ranks.  Groups of any size are scanned in blocks (``operators.scan``).
+one.  With several, groups are first cut into clusters, wherever a gap in one of
+the columns is wider than the tolerance: no pair spans two clusters, and most
+hold one row a side.  Counts stay counts: a value that occurs a billion times is
+one run of ranks.  Groups of any size are scanned in blocks (``operators.scan``).
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ class Verdict:
     """``differing`` counts rows without an exact partner on the other side.
 
     ``tolerant`` marks results that agree only within tolerance.  ``Unknown`` (and ``maybe``) is
-    said where several floating-point columns were paired at once and a group of several rows
+    said where several floating-point columns were paired at once and a cluster of several rows
     might still have a pairing that was not tried: never a ``Diff`` that may be none.
     """
 
@@ -146,34 +148,103 @@ def compare(
     return Verdict(UNKNOWN if paired is None else DIFF, maybe=paired is None, **counts)
 
 
+def _in_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int, limit: int) -> DataFrame:
+    """``df`` with ``block``: range partitions, as many as keep them near ``limit`` rows.
+
+    Writing them down fixes their bounds.
+    """
+    parts = max(shuffle_partitions(df.sparkSession), -(-rows // limit))
+    ranged = df.repartitionByRange(parts, *keys, *order)
+    return written(ranged.withColumn("block", F.spark_partition_id()), "ranges")
+
+
+def _clustered(
+    bag: DataFrame,
+    exact: list[str],
+    near: list[str],
+    atol: float,
+    rtol: float,
+    rows: int,
+    limit: int,
+    blocked: bool,
+) -> tuple[DataFrame, list[str]]:
+    """Add a cluster number per floating-point column; no two close rows are in different clusters.
+
+    A column's clusters end where the next value is not close to the one before, among rows that
+    agree in the exact columns and in the clusters of all other columns; repeated until no
+    cluster is cut any more.
+    """
+    marks = [f"k{i}" for i in range(len(near))]
+    now = bag.withColumns({m: F.lit(0).cast("bigint") for m in marks})
+    before, block = 0, "block" if blocked else None
+    while True:
+        for mark, c in zip(marks, near, strict=True):
+            group = [*exact, *[m for m in marks if m != mark]]
+            rest = now.drop(mark)
+            rest = _in_blocks(rest, group, [c], rows, limit) if blocked else rest
+            last = running(rest, group, [c], {"last": ("max_before", c)}, block)
+            # A little wider than the tolerance, as relative bounds differ along a chain.
+            gap = ~close(F.col(c), F.col("last"), atol * 1.001, rtol * 1.001)
+            cut = last.withColumn("cut", gap.cast("bigint")).drop("last")
+            now = running(cut, group, [c], {mark: ("sum", "cut")}, block).drop("cut", "block")
+            now = written(now, "clusters") if blocked else now
+        now = now if blocked else written(now, "clusters")
+        found = now.select(*exact, *marks).distinct().count()
+        if len(near) == 1 or found == before:
+            return now, marks
+        before = found
+
+
 def pairs_within_tolerance(
     bag: DataFrame, floats: list[int], atol: float, rtol: float, group_limit: int
 ) -> bool | None:
     """Whether equal-rank rows of both sides are close in every group of equal exact columns.
 
     True and False are certain, None says that no pairing was found although one
-    may exist (several floating-point columns and several rows in a group).
+    may exist (several floating-point columns and several rows in a cluster).
     """
     bag = written(bag, "bag")
     near = [f"c{i}" for i in floats]
     exact = [c for c in bag.columns if c.startswith("c") and c not in near]
-    groups = bag.groupBy(*exact).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("nl").alias("nl"), F.sum("nr").alias("nr")
-    )
-    stats = groups.agg(F.max("n").alias("largest"), F.sum(_uneven()).alias("uneven")).first()
+
+    def sizes(df: DataFrame, keys: list[str]):
+        groups = df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("nl").alias("nl"), F.sum("nr").alias("nr")
+        )
+        return groups.agg(
+            F.max("n").alias("largest"), F.sum("n").alias("rows"), F.sum(_uneven()).alias("uneven")
+        ).first()
+
+    stats = sizes(bag, exact)
     if stats.uneven:
         return False
     blocked = not exact or stats.largest > group_limit
-
-    # With several floating-point columns each is tried as the leading one.
+    if len(near) > 1:
+        bag, marks = _clustered(bag, exact, near, atol, rtol, stats.rows, group_limit, blocked)
+        exact = [*exact, *marks]
+        stats = sizes(bag, exact)
+        if stats.uneven:  # rows that nothing on the other side is close to
+            return False
+        blocked = stats.largest > group_limit
+
+    # With several floating-point columns each is tried as the leading one, on clusters still open.
+    left = bag
     for lead in range(len(near)):
         order = near[lead:] + near[:lead]
-        if _equal_ranks_close(bag, exact, order, atol, rtol, group_limit, blocked):
+        far = _far_ranks(left, exact, order, atol, rtol, group_limit, blocked, stats.rows)
+        if len(near) == 1:
+            return far.isEmpty()
+        keys = written(far.select(*exact).distinct(), "open")
+        if keys.isEmpty():
             return True
-    return False if len(near) == 1 or stats.largest <= 2 else None
+        same = [left[k].eqNullSafe(keys[k]) for k in exact]
+        left = written(left.join(keys, same, "left_semi"), "bag")
+    # A cluster of two different rows has one pairing only.
+    single = left.groupBy(*exact).agg(F.count(F.lit(1)).alias("n")).where("n <= 2")
+    return None if single.isEmpty() else False
 
 
-def _equal_ranks_close(
+def _far_ranks(
     bag: DataFrame,
     exact: list[str],
     order: list[str],
@@ -181,12 +252,11 @@ def _equal_ranks_close(
     rtol: float,
     group_limit: int,
     blocked: bool,
-) -> bool:
+    rows: int,
+) -> DataFrame:
+    """Ranks at which the rows of both sides, put in order, are not close."""
     if blocked:
-        # Range partitions are the blocks; writing them down fixes their bounds.
-        parts = shuffle_partitions(bag.sparkSession)
-        ranged = bag.repartitionByRange(parts, *exact, *order)
-        bag = written(ranged.withColumn("block", F.spark_partition_id()), "ranges")
+        bag = _in_blocks(bag, exact, order, rows, group_limit)
     ranked = running(
         bag,
         exact,
@@ -196,8 +266,10 @@ def _equal_ranks_close(
     )
 
     # A row is a run of ranks on each side it occurs on.  Between two run starts
-    # the value of either side stays the same.
-    value = F.struct(*order)
+    # the value of either side stays the same.  A single column is held plain: NULL comes first
+    # in its order and no maximum after it falls back to it.
+    plain = len(order) == 1
+    value = F.col(order[0]) if plain else F.struct(*order)
     empty = F.lit(None).cast(bag.select(value.alias("v")).schema["v"].dataType)
     runs = ranked.select(
         *exact,
@@ -225,23 +297,77 @@ def _equal_ranks_close(
         {"left_value": ("max", "lv"), "right_value": ("max", "rv")},
         "stretch" if blocked else None,
     )
-    far = [
-        ~close(F.col(f"left_value.{c}"), F.col(f"right_value.{c}"), atol, rtol) for c in order
-    ]
-    condition = far[0]
-    for c in far[1:]:
-        condition = condition | c
-    return held.where(condition).isEmpty()
 
+    def sides(c: str) -> list[Column]:
+        return [F.col(s if plain else f"{s}.{c}") for s in ("left_value", "right_value")]
 
-def diff_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows without an exact partner: ``side`` that has more of them, by how many, and the row."""
+    condition = F.lit(False)
+    for c in order:
+        condition = condition | ~close(*sides(c), atol, rtol)
+    return held.where(condition)
+
+
+def diff_rows(
+    left: DataFrame,
+    right: DataFrame,
+    atol: float | None = None,
+    rtol: float = RTOL,
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Rows without a partner: ``side`` that has more of them, by how many, and the row.
+
+    Partners are equal, or with ``atol`` also within tolerance: of the rows without an equal
+    partner those close to each other are set off against each other, and what one side has more
+    is listed.  Where a chain of close values is as a whole wider than the tolerance all its rows
+    are listed.
+    """
     conflict = schema_conflict(left, right)
     if conflict:
         raise ValueError(conflict)
     names = {f"c{i}": name for i, name in enumerate(left.columns)}
-    return _counted(left, right).where("nl != nr").select(
+    uneven = _counted(left, right).where("nl != nr")
+    near = [f"c{i}" for i, f in enumerate(left.schema) if types.is_float(f.dataType)]
+    if atol is not None and near:
+        uneven = _without_close(uneven, near, atol, rtol, group_limit)
+    return uneven.select(
         F.when(F.col("nl") > F.col("nr"), "left").otherwise("right").alias("side"),
         _uneven().alias("n"),
         *[F.col(c).alias(name) for c, name in names.items()],
     )
+
+
+def _without_close(
+    uneven: DataFrame, near: list[str], atol: float, rtol: float, limit: int
+) -> DataFrame:
+    """What is left of a bag's uneven counts once close rows are set off against each other."""
+    uneven = written(uneven, "uneven")
+    columns = uneven.columns
+    exact = [c for c in columns if c.startswith("c") and c not in near]
+    sizes = uneven.groupBy(*exact).agg(F.count(F.lit(1)).alias("n"))
+    stats = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
+    rows, blocked = stats.rows or 0, (stats.largest or 0) > limit
+    bag, marks = _clustered(uneven, exact, near, atol, rtol, rows, limit, blocked)
+    keys = [*exact, *marks]
+    over = F.col("nl") - F.col("nr")
+    edges = [f(c).alias(f"{name}_{c}") for c in near for name, f in (("low", F.min), ("high", F.max))]
+    sums = bag.groupBy(*keys).agg(F.sum(over).alias("more"), *edges)
+    tight = F.lit(True)
+    for c in near:
+        tight = tight & close(F.col(f"low_{c}"), F.col(f"high_{c}"), atol, rtol)
+    named = sums.select(*[F.col(k).alias(f"{k}__key") for k in keys], "more", tight.alias("tight"))
+    bag = _in_blocks(bag, keys, near, rows, limit) if blocked else bag
+    whole = bag.join(named, [F.col(k).eqNullSafe(F.col(f"{k}__key")) for k in keys])
+    whole = whole.drop(*[f"{k}__key" for k in keys])
+    # The side with more rows lists its first ones, until what it has more is reached.
+    own = F.greatest(F.lit(0).cast("bigint"), over * F.signum("more").cast("bigint"))
+    counted = running(whole.withColumn("own", own), keys, near, {"upto": ("sum", "own")}, "block" if blocked else None)
+    open_ = F.abs(F.col("more")) - (F.col("upto") - F.col("own"))
+    listed = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("own"), open_))
+    zero = F.lit(0).cast("bigint")
+    kept = counted.withColumn("listed", listed).withColumns(
+        {
+            "nl": F.when(~F.col("tight"), F.col("nl")).otherwise(F.when(F.col("more") > 0, F.col("listed")).otherwise(zero)),
+            "nr": F.when(~F.col("tight"), F.col("nr")).otherwise(F.when(F.col("more") < 0, F.col("listed")).otherwise(zero)),
+        }
+    )
+    return kept.where("nl != nr").select(*columns)

@@ -120,13 +120,57 @@ def test_several_float_columns(spark):
     left = _values(spark, [(1, 1.0, 5.0), (1, 1.0001, 7.0)], ddl)
     crossed = _values(spark, [(1, 1.0, 7.0), (1, 1.0001, 5.0)], ddl)
     assert compare(left, crossed).relation == "Reordered"
+    # 7 and 8 are in different clusters: nothing is close to either, so the difference is certain.
     moved = _values(spark, [(1, 1.0, 5.0), (1, 1.0001, 8.0)], ddl)
     verdict = compare(left, moved)
-    assert verdict.relation == "Unknown" and verdict.maybe
+    assert verdict.relation == "Diff" and not verdict.maybe
     single = compare(_values(spark, [(1, 1.0, 5.0)], ddl), _values(spark, [(1, 1.0, 6.0)], ddl))
     assert single.relation == "Diff" and not single.maybe
 
 
+def test_close_in_different_columns(spark):
+    """Two pairs are close in x, two in y: neither column alone leads to the pairing."""
+    ddl = "k int, x double, y double"
+    left = [(1, 0.0, 1.0), (1, 0.0004, 2.0), (1, 5.0, 7.0), (1, 6.0, 7.0004)]
+    right = [(1, 0.0003, 2.0003), (1, 0.0005, 1.0), (1, 6.0, 7.0001), (1, 5.0001, 7.0003)]
+    verdict = compare(_values(spark, left, ddl), _values(spark, right, ddl))
+    assert (verdict.relation, verdict.tolerant, verdict.maybe) == ("Reordered", True, False)
+
+
+def _perfect(left, right, atol):
+    """Whether some pairing of all rows is close in every column."""
+    partner = {}
+
+    def find(i, tried):
+        for j, row in enumerate(right):
+            if j not in tried and all(a == b or abs(a - b) < atol for a, b in zip(left[i], row)):
+                tried.add(j)
+                if j not in partner or find(partner[j], tried):
+                    partner[j] = i
+                    return True
+        return False
+
+    return all(find(i, set()) for i in range(len(left)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_several_columns_against_all_pairings(spark, seed):
+    """Reordered and Diff are certain; Unknown may be either."""
+    rng = random.Random(seed)
+    left = [(rng.randrange(12) / 20, rng.randrange(12) / 20) for _ in range(30)]
+    right = [tuple(v + rng.uniform(-0.03, 0.03) for v in row) for row in left]
+    if seed % 2:
+        right[3] = (right[3][0], right[3][1] + 0.09)
+    rng.shuffle(right)
+    ddl = "x double, y double"
+    limit = 4 if seed > 2 else 1_000_000
+    got = compare(
+        _values(spark, left, ddl), _values(spark, right, ddl), atol=0.031, rtol=0.0, group_limit=limit
+    )
+    expected = {True: "Reordered", False: "Diff"}[_perfect(left, right, 0.031)]
+    assert got.relation in (expected, "Unknown")
+
+
 def _brute(left, right, atol):
     """k-th smallest against k-th smallest per key."""
     for k in {r[0] for r in left + right}:
@@ -184,3 +228,24 @@ def test_diff_rows(spark):
     assert got == {("left", 1, 1, "a"), ("left", 1, 2, "b"), ("right", 2, 2, "c")}
     with pytest.raises(ValueError):
         diff_rows(left, right.select("p"))
+
+
+def test_diff_rows_within_tolerance(spark):
+    ddl = "k int, v double, w double"
+    left = [(1, 1.0, 0.0), (2, 5.0, 1.0), (3, 7.0, None), (4, 1.0, 1.0), (4, 1.0002, 1.0), (5, math.nan, 2.0)]
+    right = [(1, 1.0004, 0.0), (2, 5.0, 1.5), (3, 7.0, None), (4, 1.0001, 1.0), (5, math.nan, 2.0003)]
+    frames = _values(spark, left, ddl), _values(spark, right, ddl)
+    got = sorted(tuple(r) for r in diff_rows(*frames, atol=1e-3).collect())
+    assert got == [("left", 1, 2, 5.0, 1.0), ("left", 1, 4, 1.0, 1.0), ("right", 1, 2, 5.0, 1.5)]
+    assert diff_rows(*frames).count() == 9
+    small = sorted(tuple(r) for r in diff_rows(*frames, atol=1e-3, group_limit=1).collect())
+    assert small == got
+
+
+def test_diff_rows_sets_copies_off(spark):
+    left = spark.range(1000).select(F.lit(1).alias("k"), F.lit(2.0).alias("v"))
+    right = spark.range(900).select(F.lit(1).alias("k"), F.lit(2.0004).alias("v"))
+    assert [tuple(r) for r in diff_rows(left, right, atol=1e-3).collect()] == [("left", 100, 1, 2.0)]
+    chain = spark.createDataFrame([(1, 0.0), (1, 0.0008), (1, 0.0016)], "k int, v double")
+    other = spark.createDataFrame([(1, 0.0004)], "k int, v double")
+    assert diff_rows(chain, other, atol=1e-3).count() == 4
