@@ -212,17 +212,21 @@ def execute(case: Case, sources: dict[str, SuiteSource], timeout_s: float | None
     """Run one case and write its result: (status, reason)."""
     spark = sources[case.source].frame.sparkSession
     tag = f"equivcheck-{case.run_id}-{case.set_id}-{case.case_id}"
-    expired = threading.Event()
+    expired, ended = threading.Event(), threading.Event()
 
-    def cancel():
+    def watch():
+        if ended.wait(timeout_s):
+            return
         expired.set()
-        spark.sparkContext.cancelJobsWithTag(tag)
+        # A query that is being planned has no job yet: cancel until the case has ended.
+        while not ended.is_set():
+            spark.sparkContext.cancelJobsWithTag(tag)
+            ended.wait(0.5)
 
-    timer = threading.Timer(timeout_s, cancel) if timeout_s else None
     spark.sparkContext.addJobTag(tag)
     try:
-        if timer:
-            timer.start()
+        if timeout_s:
+            threading.Thread(target=watch, daemon=True).start()
         frame = case.build(sources[case.source])
         if expired.is_set():  # while the query was being planned there was no job to cancel
             return TIMED_OUT, None
@@ -231,8 +235,7 @@ def execute(case: Case, sources: dict[str, SuiteSource], timeout_s: float | None
     except Exception as error:  # a failed query is a finding of the suite, not the end of it
         return (TIMED_OUT, None) if expired.is_set() else (FAILED, str(error).split("\n")[0])
     finally:
-        if timer:
-            timer.cancel()
+        ended.set()
         spark.sparkContext.removeJobTag(tag)
 
 
@@ -391,12 +394,17 @@ def replay(
     return run_cases(spark, sources, cases, config, folder)
 
 
-def extract_diffs(spark: SparkSession, target: str, folder: str) -> DataFrame:
+def extract_diffs(
+    spark: SparkSession, target: str, folder: str, config: SuiteConfig | None = None
+) -> DataFrame:
     """Write the differing rows of every case judged ``Diff``; returns those verdicts.
 
+    Rows with a partner within the suite's tolerance are no differences.
+
     Every case has a folder of its own below ``folder`` and its run, so the
     extracts of several runs lie side by side.
     """
+    config = config or SuiteConfig()
     verdicts = read_table(spark, target, "test_set_results").where(F.col("relation") == DIFF)
     sets = {}
     for row in verdicts.select("run_id", "set_id", "case_id").collect():
@@ -406,5 +414,5 @@ def extract_diffs(spark: SparkSession, target: str, folder: str) -> DataFrame:
             spark.read.parquet(sets[row.set_id][c].result_path) for c in (ORIGIN, row.case_id)
         )
         path = f"{folder}/run-{row.run_id}/set{row.set_id}-{row.case_id}"
-        diff_rows(left, right).write.mode("overwrite").parquet(path)
+        diff_rows(left, right, config.atol, config.rtol).write.mode("overwrite").parquet(path)
     return verdicts

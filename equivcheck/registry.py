@@ -519,6 +519,36 @@ def replay_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(again.result_path)
 
 
+def extract_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results that differ within tolerance in all rows and beyond it in some."""
+    base, _, config = _stored_pair(spark, sf_dir)
+    first, second = suite.load_cases(spark, base, 0)
+    left = _identified(spark, sf_dir).select("event_id", "value")
+    by = F.when(F.col("event_id") % 100 == 0, 0.5).otherwise(0.0004)
+    left.write.mode("overwrite").parquet(first.result_path)
+    left.withColumn("value", F.col("value") + by).write.mode("overwrite").parquet(second.result_path)
+    verdict = suite.judge(spark, first, second, config)
+    row = (0, 0, second.case_id, second.strategy, *asdict(verdict).values())
+    results = spark.createDataFrame([row], suite.RESULT_SCHEMA)
+    results.write.mode("overwrite").parquet(f"{base}/test_set_results")
+    folder = new_dir(spark, "diffs")
+    suite.extract_diffs(spark, base, folder, config)
+    return spark.read.parquet(f"{folder}/run-0/set0-Other0")
+
+
+def compare_ordered_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _identified(spark, sf_dir).withColumn("pos", F.col("event_id"))
+    return _judged(left, left, pos="pos")
+
+
+def compare_two_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two float columns off within tolerance: the pairing goes through clusters of both."""
+    raw = spark.read.schema("event_type STRING, value DOUBLE, user_id BIGINT")
+    left = raw.parquet(f"{sf_dir}/events.parquet").withColumn("share", F.col("user_id") / 4).drop("user_id")
+    right = left.withColumns({"value": F.col("value") + 0.0004, "share": F.col("share") - 0.0004})
+    return _judged(left, right)
+
+
 # -- streaming ------------------------------------------------------------------
 
 
@@ -580,6 +610,8 @@ OPERATORS = [
     generated_stream_stats,
     compare_equal,
     compare_reordered,
+    compare_ordered_equal,
+    compare_two_floats,
     compare_missing,
     compare_doubled,
     compare_missing_doubled,
@@ -588,6 +620,7 @@ OPERATORS = [
     compare_beyond_tolerance,
     compare_types,
     diff_of_results,
+    extract_diffs,
     suite_summary,
     suite_rollup,
     suite_totals,

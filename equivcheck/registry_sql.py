@@ -383,6 +383,22 @@ def all_sql() -> dict[str, str]:
                 AS differing, (SELECT count(*) FROM (FROM l EXCEPT ALL FROM r)) AS moved)
                 SELECT CASE WHEN differing > 0 THEN 'Diff' WHEN moved > 0 THEN 'Reordered' ELSE 'Equal' END
                 AS relation, left_rows, right_rows, differing, FALSE AS tolerant FROM n""",
+            "compare_ordered_equal": f"""
+                WITH l AS (SELECT *, event_id AS pos FROM ({identified})), n AS (SELECT
+                (SELECT count(*) FROM l) AS rows, (SELECT count(*) FROM (FROM l EXCEPT ALL FROM l)) AS moved)
+                SELECT CASE WHEN moved > 0 THEN 'Reordered' ELSE 'Equal' END AS relation, rows AS left_rows,
+                rows AS right_rows, moved AS differing, FALSE AS tolerant FROM n""",
+            # Row by row both values are close, so a pairing exists; no shifted row equals another one.
+            "compare_two_floats": """
+                WITH l AS (SELECT event_type, value, user_id / 4 AS share FROM events),
+                r AS (SELECT event_type, value + 0.0004 AS value, share - 0.0004 AS share FROM l)
+                SELECT CASE WHEN bool_and(abs(value + 0.0004 - value) < 1e-3) THEN 'Reordered' ELSE 'Diff' END
+                AS relation, count(*) AS left_rows, count(*) AS right_rows,
+                (SELECT count(*) FROM (FROM l EXCEPT ALL FROM r))
+                + (SELECT count(*) FROM (FROM r EXCEPT ALL FROM l)) AS differing, TRUE AS tolerant FROM l""",
+            "extract_diffs": """
+                SELECT 'left' AS side, 1::BIGINT AS n, event_id, value FROM events WHERE event_id % 100 = 0
+                UNION ALL SELECT 'right', 1, event_id, value + 0.5 FROM events WHERE event_id % 100 = 0""",
             "compare_missing": _bags(
                 f"SELECT * FROM {LINEITEM}", f"SELECT * FROM {LINEITEM} WHERE key <> 7", "*"
             ),
