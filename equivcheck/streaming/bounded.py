@@ -8,6 +8,7 @@ future, which arrives after every real row and so makes none of them late.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ END_OF_STREAM_MS = 253_402_300_799_999
 # in whatever order.  The end-of-stream row is far enough away to close all windows all the same.
 WHOLE_SPAN = "365000 days"
 
+# Streams that start at the same time must not undo each other's settings.
+_starting = threading.Lock()
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -78,25 +82,26 @@ def run_bounded(
 
 
 def _run(spark: SparkSession, query: DataFrame, base: str, settings: dict[str, str]) -> DataFrame:
-    before = {name: spark.conf.get(name, None) for name in settings}
-    try:
-        for name, value in settings.items():
-            spark.conf.set(name, value)
-        running = (
-            query.writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", f"{base}/out")
-            .option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-    finally:
-        # a stream keeps the settings it was started with
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
+    with _starting:
+        before = {name: spark.conf.get(name, None) for name in settings}
+        try:
+            for name, value in settings.items():
                 spark.conf.set(name, value)
+            running = (
+                query.writeStream.format("parquet")
+                .outputMode("append")
+                .option("path", f"{base}/out")
+                .option("checkpointLocation", f"{base}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
+        finally:
+            # a stream keeps the settings it was started with
+            for name, value in before.items():
+                if value is None:
+                    spark.conf.unset(name)
+                else:
+                    spark.conf.set(name, value)
     running.awaitTermination()
     late = sum(
         state["numRowsDroppedByWatermark"]
