@@ -153,7 +153,7 @@ def _perfect(left, right, atol):
     return all(find(i, set()) for i in range(len(left)))
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_several_columns_against_all_pairings(spark, seed):
     """Reordered and Diff are certain; Unknown may be either."""
     rng = random.Random(seed)
@@ -163,10 +163,7 @@ def test_several_columns_against_all_pairings(spark, seed):
         right[3] = (right[3][0], right[3][1] + 0.09)
     rng.shuffle(right)
     ddl = "x double, y double"
-    limit = 4 if seed > 2 else 1_000_000
-    got = compare(
-        _values(spark, left, ddl), _values(spark, right, ddl), atol=0.031, rtol=0.0, group_limit=limit
-    )
+    got = compare(_values(spark, left, ddl), _values(spark, right, ddl), atol=0.031, rtol=0.0)
     expected = {True: "Reordered", False: "Diff"}[_perfect(left, right, 0.031)]
     assert got.relation in (expected, "Unknown")
 
