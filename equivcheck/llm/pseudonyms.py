@@ -11,7 +11,8 @@ pseudonyms in all documents, different values different ones, and the key undoes
   (mm/dd/yyyy is read only where dd/mm/yyyy is no date);
 * IPv4 addresses with numbers up to 255; phone numbers with a country code, which stays; social
   security numbers; e-mail addresses (letters and digits before the @); hexadecimal keys of 32 to
-  64 digits.
+  64 digits in either case (capitals come out in capitals, mixed case in lower case; a key has one
+  pseudonym in all cases).
 
 Digits outside these kinds, and values that are not valid, stay as they are.  A null text stays
 null; rows repeat as they come in; other columns pass through.
@@ -36,7 +37,7 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9A-Za-z-])",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
@@ -192,6 +193,11 @@ def _ssn(value: Column, key: str) -> Column:
     return F.when(good, _in_place(value, DIGITS, key, "ssn")).otherwise(value)
 
 
+def _secret(value: Column, key: str) -> Column:
+    capitals = value.rlike("[A-F]") & ~value.rlike("[a-f]")
+    return let(_in_place(value, HEX, key, "secret"), lambda p: F.when(capitals, F.upper(p)).otherwise(p))
+
+
 def _split_at(value: Column, pattern: str) -> tuple[Column, Column]:
     head = F.regexp_extract(value, pattern, 0)
     return head, F.substring(value, F.length(head) + 1, F.length(value))
@@ -211,7 +217,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(value.rlike(forms["ip"]), _ip(value, key))
         .when(value.rlike(forms["ssn"]), _ssn(value, key))
         .when(value.rlike(forms["card"]), _card(value, key))
-        .when(value.rlike(forms["secret"]), _in_place(value, HEX, key, "secret"))
+        .when(value.rlike(forms["secret"]), _secret(value, key))
         .otherwise(value)
     )
 
