@@ -36,24 +36,30 @@ BUCKET = 20_000  # fingerprints compared inside one row, 160 KB
 CHUNK = 65_536  # shingles whose bits are counted at a time
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """64-bit SimHash of one text, signed; a bit is set if more than half of the hashes set it."""
+def shingles(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text in pieces; a shorter text is one shingle, a blank one none."""
     parts = text.lower().split()  # bytes: A-Z only, and the white space of the word rule
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     n = max(1, len(parts) - size + 1)
     lo, hi = starts[:n].tolist(), ends[len(parts) - n :].tolist()
-    counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         spans = zip(lo[at : at + CHUNK], hi[at : at + CHUNK], strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """64-bit SimHash of one text, signed; a bit is set if more than half of the hashes set it."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in shingles(text, size):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     value = 0
     for bit in np.flatnonzero(counts * 2 > n).tolist():
         value |= 1 << bit
@@ -182,13 +188,17 @@ def near_duplicates(
     return made.join(named, "fp").select("id", "fp", "component_id")
 
 
-def survivors(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def survivors(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", groups: DataFrame | None = None
+) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id.
 
+    ``groups`` has ``(id, component_id)`` of every row; without it they are those of op2.
+
     Rows without an id pass unchanged, as they cannot be named.  Where rows share the id that
     stays, the least of them by the other columns' text stays.
     """
-    groups = near_duplicates(docs, id_column, text)
+    groups = near_duplicates(docs, id_column, text) if groups is None else groups
     stay = groups.where("id = component_id").select(F.col("id").alias("__id")).distinct()
     kept = docs.join(stay, F.col(id_column) == F.col("__id"), "left_semi")
     # Ids are unique but for repeated rows: only those are ordered by their content.

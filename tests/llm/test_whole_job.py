@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 
-from test_brute_force import made
+import corpus_pipeline
+from equivcheck.llm import nearcopies
+from test_brute_force import lower, made, words
 
 
 def test_secrets_in_capitals_are_replaced_and_linked(spark):
@@ -14,3 +17,62 @@ def test_secrets_in_capitals_are_replaced_and_linked(spark):
     assert n == [1, 1, 1, 1, 0]
     assert out[0] != low and re.fullmatch("[0-9a-f]{40}", out[0])
     assert out[1] == out[0].upper() and out[2] == out[0]
+
+
+def shingled(text):
+    parts = words(lower(text))
+    return {" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def brute_groups(texts):
+    """The least place that chains of a Jaccard share of 0.8 reach."""
+    sets = [shingled(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_pipeline_removes_planted_near_copies(spark):
+    draw = random.Random(5)
+
+    def prose(n):
+        return [f"{draw.choice('abcdefgh')}{draw.randrange(500)}" for _ in range(n)]
+
+    texts, planted = [], []
+    for n in (60, 90, 200, 400, 1_500):
+        base = prose(n)
+        texts.append(base)
+        for share in (0.75, 0.79, 0.8, 0.82, 0.85, 0.9, 0.95):
+            # Words put in one by one, far apart, until the share is reached.
+            copy, at = list(base), 6
+            while at < len(copy):
+                more = [*copy[:at], "new" + str(draw.randrange(10**6)), *copy[at:]]
+                a, b = shingled(" ".join(base)), shingled(" ".join(more))
+                if len(a & b) / len(a | b) < share:
+                    break
+                copy, at = more, at + 9
+            planted.append(copy)
+    # One large group around a text, with members on both sides of the limit.
+    hub = prose(120)
+    for _ in range(150):
+        copy = list(hub)
+        for at in draw.sample(range(120), draw.randint(1, 5)):
+            copy[at] = "x" + str(draw.randrange(10**6))
+        planted.append(copy)
+    rows = [" ".join(x) for x in [*texts, *planted, *(prose(40) for _ in range(20))]] + ["", " ", None, "a b", "A  b"]
+    want = brute_groups([x or "" for x in rows])
+    want = [min(i for i, x in enumerate(rows) if not (x or "").strip()) if not (r or "").strip() else w for r, w in zip(rows, want, strict=True)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["component_id"] for r in nearcopies.groups(docs).collect()}
+    assert got == dict(enumerate(want))
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == set(want)
