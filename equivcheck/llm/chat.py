@@ -3,7 +3,7 @@
 A line's quote level is the number of ``>`` in front of it.  Lines of one level without a blank line
 between them are a passage; passages are normalised (lower case, single spaces) and hashed.  A
 message offers its own passages, lines and whole text (level 0); a reply looks up its quoted
-passages, and the whole of each level, among the earlier messages of its conversation.  Its parent
+passages and lines, and the whole of each level, among the earlier messages of its conversation.  Its parent
 is the message found for the outermost level; of several, the one with most characters found, then
 the latest; a text said more than once counts for the last time it was said before the reply.
 
@@ -95,7 +95,11 @@ def _links(parsed: DataFrame) -> DataFrame:
     keyed = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     p = F.col("__passages")
     levels = F.array_distinct(F.transform(F.filter(p, lambda x: x["level"] > 0), lambda x: x["level"]))
-    sought = F.concat(F.filter(p, lambda x: x["level"] > 0), F.transform(levels, lambda n: _whole(p, n)))
+    # A quote may be trimmed to some lines of a passage: they are sought one by one as well.
+    lines = F.filter(F.col("__lines"), lambda x: (x["level"] > 0) & ~x["blank"])
+    lines = F.transform(lines, lambda x: F.struct(x["level"].alias("level"), _normal(x["body"]).alias("text")))
+    lines = F.filter(lines, lambda x: x["text"] != "")
+    sought = F.concat(F.filter(p, lambda x: x["level"] > 0), F.transform(levels, lambda n: _whole(p, n)), lines)
     quotes = keyed.select("conv_id", "turn", F.explode(F.array_distinct(sought)).alias("q")).select(
         "conv_id",
         F.md5(F.col("q.text").cast("binary")).alias("hash"),

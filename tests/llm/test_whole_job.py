@@ -6,7 +6,7 @@ import random
 import re
 
 import corpus_pipeline
-from equivcheck.llm import nearcopies
+from equivcheck.llm import chat, nearcopies
 from test_brute_force import lower, made, words
 
 
@@ -76,3 +76,18 @@ def test_pipeline_removes_planted_near_copies(spark):
     got = {r["id"]: r["component_id"] for r in nearcopies.groups(docs).collect()}
     assert got == dict(enumerate(want))
     assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == set(want)
+
+
+def test_trimmed_quotes_of_several_lines_find_their_message(spark):
+    rows = [
+        (1, 0, "user", "first line here\nsecond line here\nthird line here"),
+        (1, 1, "user", "something else\nsome other line"),
+        (1, 2, "assistant", "> first line here\n> second line here\n\nan answer"),
+        (1, 3, "user", ">> second line here\n>> third line here\n> an answer\nmore"),
+        (1, 4, "user", "> never said\n> nor this\nno parent"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {r["turn"]: r for r in chat.replies(df).collect()}
+    assert [got[i]["parent_turn"] for i in range(5)] == [None, None, 0, 2, None]
+    assert [got[i]["thread_turn"] for i in range(5)] == [0, 1, 0, 0, 4]
+    assert [got[i]["position"] for i in range(5)] == [0, 3, 1, 2, 4]
