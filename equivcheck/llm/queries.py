@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equivcheck.llm import brown, chat, decontaminate, language, mixing, pseudonyms, quality, simhash, toxicity, urls
+from equivcheck.llm import (
+    bpe,
+    brown,
+    chat,
+    decontaminate,
+    language,
+    merkle,
+    mixing,
+    pseudonyms,
+    quality,
+    simhash,
+    toxicity,
+    urls,
+    variants,
+)
 from equivcheck.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +116,25 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), sites, globs).drop("url")
 
 
+def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.tampered_text())
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spellings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": quality_rules,
     "op2_simhash": near_duplicates,
@@ -113,4 +146,7 @@ QUERIES: dict[str, Query] = {
     "op8_pseudonyms": personal_data,
     "op9_toxicity": toxic_texts,
     "op10_url_filter": url_verdicts,
+    "op11_merkle_manifest": dataset_manifest,
+    "op12_byte_bpe": byte_pairs,
+    "op13_spelling_variants": spelling_variants,
 }

@@ -1,13 +1,15 @@
 """DuckDB SQL with the rows of the queries, where SQL can say them.
 
 The others are held against plain Python in the tests: XXH64 fingerprints and components, random
-vectors, trained models, Feistel rounds, and mixtures and replies, whose steps are not single queries.
+vectors, trained models, Feistel rounds, merges of byte pairs, and mixtures and replies, whose steps are
+not single queries.
 """
 
 from __future__ import annotations
 
 from equivcheck.llm.quality import BOILERPLATE, SEPARATORS, SYMBOLS
 from equivcheck.llm.queries import SITES
+from equivcheck.llm.variants import RUN
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -100,8 +102,89 @@ def _urls() -> str:
     """
 
 
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a text's bytes, by half bytes, the lower half first."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    halves = f"list_transform(range(2 * strlen({text})), lambda i: strpos('0123456789ABCDEF', hex(encode({text}))[xor(i, 1) + 1]) - 1)"
+    step = f"xor(c >> 4, ({table}::BIGINT[])[(xor(c, x) & 15) + 1])"
+    return f"xor(list_reduce([4294967295::BIGINT] || {halves}::BIGINT[], lambda c, x: {step}), 4294967295)"
+
+
+def _manifest() -> str:
+    def leaf(text: str) -> str:
+        fields = ["doc_id", "source", "lang", "n_chars", text]
+        parts = [f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields]
+        return f"sha256({' || '.join(parts)})"
+
+    def levels(name: str, start: str) -> str:
+        return f"""{name}(grp, lvl, pos, d, n) AS ({start} UNION ALL
+        SELECT grp, lvl + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos)), any_value((n + 15) // 16)
+        FROM {name} WHERE n > 1 GROUP BY grp, lvl, pos // 16)"""
+
+    def steps(key: str, rows: str, tree: str, offset: int) -> str:
+        # Siblings of a row in each level of a tree, on its left and on its right.
+        return f"""SELECT {key}, {offset} + lvl AS lvl,
+        coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (t.pos < x.pos // (1 << (4 * lvl))), '') AS l,
+        coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (t.pos > x.pos // (1 << (4 * lvl))), '') AS r
+        FROM {rows} x JOIN {tree} t ON t.grp = x.grp AND t.n > 1 AND t.pos // 16 = x.pos // (1 << (4 * lvl + 4))
+        GROUP BY {key}, lvl"""
+
+    changed = f"doc_id IS NOT NULL AND {_crc32('doc_id::VARCHAR')} % 5 = 0"
+    other = f"CASE WHEN {changed} THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END"
+    return f"""
+    WITH RECURSIVE d AS (SELECT *, {leaf('text')} AS leaf, {other} AS told FROM documents),
+    c AS (SELECT row_number() OVER () AS rid, doc_id, leaf, {leaf('told')} AS claimed, coalesce('=' || source, '') AS grp,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY source) AS n FROM d),
+    {levels('tree', 'SELECT grp, 0, pos, leaf, n FROM c')},
+    s AS (SELECT grp AS own, '' AS grp, d AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos,
+        count(*) OVER () AS n FROM tree WHERE n = 1),
+    {levels('top', "SELECT grp, 0, pos, subroot, n FROM s")},
+    low AS ({steps('rid', 'c', 'tree', 0)}),
+    high AS ({steps('own', 's', 'top', 100)}),
+    path AS (SELECT rid, lvl, l, r FROM low UNION ALL SELECT rid, lvl, l, r FROM c JOIN high ON c.grp = high.own),
+    k AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS k FROM path),
+    fold(rid, k, d) AS (SELECT rid, 0::BIGINT, claimed FROM c UNION ALL
+        SELECT fold.rid, k.k, sha256(l || d || r) FROM fold JOIN k ON k.rid = fold.rid AND k.k = fold.k + 1),
+    ends AS (SELECT rid, max_by(d, k) AS folded_root FROM fold GROUP BY rid),
+    proofs AS (SELECT rid, string_agg(l || r, '' ORDER BY k) AS p FROM k GROUP BY rid),
+    root AS (SELECT d AS root FROM top WHERE n = 1)
+    SELECT doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM c JOIN s ON c.grp = s.own JOIN ends USING (rid) LEFT JOIN proofs USING (rid), root
+    """
+
+
+def _variants() -> str:
+    return f"""
+    WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, coalesce(doc_id::VARCHAR, '') AS id,
+        unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{RUN}')) AS run
+        FROM documents),
+    r AS (SELECT id, run, count(*) AS n, id || ':' || run AS named FROM t GROUP BY id, run),
+    h AS (SELECT run, n, {_crc32('named')} AS h FROM r),
+    w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+        ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+    g AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS gap FROM w),
+    v AS (SELECT word, n, gap, substr(word, 1, gap - 1) || substr(word, gap + 1) AS part FROM g),
+    one AS (SELECT DISTINCT v.word AS a, w.word AS b, w.n AS bn, v.n AS an FROM v JOIN w ON v.part = w.word),
+    near AS (SELECT a, b, bn FROM one UNION ALL SELECT b, a, an FROM one UNION ALL
+        SELECT DISTINCT x.word, y.word, y.n FROM v x JOIN v y ON x.part = y.part AND x.gap = y.gap AND x.word <> y.word),
+    best AS (SELECT a, count(*) AS n_near, arg_min(b, (-bn, b)) AS b, max(bn) AS bn FROM near GROUP BY a),
+    f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= 5 * n THEN b END AS form,
+        CASE WHEN bn >= 5 * n THEN bn END AS form_n FROM w LEFT JOIN best ON word = a),
+    up(word, root) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE form IS NOT NULL)
+    SELECT f.word, f.form, root, f.n, f.n_near, f.form_n FROM f JOIN up ON f.word = up.word
+        JOIN f AS e ON e.word = up.root AND e.form IS NULL
+    """
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": _quality(),
     "op4_decontamination": _contamination(),
     "op10_url_filter": _urls(),
+    "op11_merkle_manifest": _manifest(),
+    "op13_spelling_variants": _variants(),
 }
