@@ -280,8 +280,14 @@ def clean(
     size: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text holds no window of any item."""
+    """The rows of ``docs``, unchanged, whose text holds no window of any item.
+
+    Columns may have any names.
+    """
     blocks = _blocks_of(benchmark, item, item_text, block_bytes)
+    names = docs.columns
+    at = names.index(text)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # Arrow functions find columns by plain names
     for items in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(items())
 
@@ -294,11 +300,11 @@ def clean(
                 rows = batch.select(range(batch.num_columns - 1))
                 yield rows.filter(pa.array([not s for s in spans], pa.bool_()))
 
-        whole = docs.select("*", binary_text(F.col(text)).alias("__text"))
+        whole = docs.select("*", binary_text(F.col(f"c{at}")).alias("text"))
         docs = whole.mapInArrow(scan, docs.schema)
         if len(blocks) > 1:
             docs = written(docs, "clean")
-    return docs
+    return docs.toDF(*names)
 
 
 def search(

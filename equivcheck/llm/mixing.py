@@ -126,12 +126,13 @@ def mix(
 
     ``levels`` gives the tree, top first, as expressions over ``docs``; null is a value of its own,
     the empty text.  The budget is ``total`` tokens, or ``share`` of all tokens.  Documents without
-    tokens cost nothing and come once per whole pass.  An empty table gives no rows.
+    tokens cost nothing and come once per whole pass.  An empty table gives no rows.  Columns may have
+    any names; one called ``epoch`` is replaced.
     """
     names = [f"__{name}" for name in levels]
     keys = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)]
     narrow = written(
-        docs.select(F.col(id_column).alias("__id"), *keys, tokens(F.col(text)).alias("__tokens")), "tokens"
+        docs.select(F.col(f"`{id_column}`").alias("__id"), *keys, tokens(F.col(f"`{text}`")).alias("__tokens")), "tokens"
     )
     sums = written(narrow.groupBy(*names).agg(F.sum("__tokens").alias("held")), "leaves")
     held = sums.agg(F.coalesce(F.sum("held"), F.lit(0)), F.count(F.lit(1))).first()
@@ -169,9 +170,11 @@ def mix(
     mark = fits.groupBy(*names).agg(F.max(F.struct("__hash", F.col("__id"))).alias("__last"))
     cut = leaf.join(ends.select(*names, "__end"), names, "left").join(mark, names, "left")
     cut = written(cut, "cuts")
-    rows = docs.withColumns(dict(zip(names, keys, strict=True)))
+    # The row travels whole, so that its columns may have the names of others.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "epoch"]).alias("__row")
+    rows = docs.select(row, F.col(f"`{id_column}`").alias("__id"), *keys)
     rows = rows.join(F.broadcast(cut) if small else cut, names)
-    here = F.struct(_order(seed, F.col("__whole"), F.col(id_column)).alias("__hash"), F.col(id_column).alias("__id"))
+    here = F.struct(_order(seed, F.col("__whole"), F.col("__id")).alias("__hash"), "__id")
     first_part = F.substring(here["__hash"], 1, SLICE)
     # Nothing left to draw: no prefix, not even of documents without tokens.
     inside = F.when(F.col("__end").isNull() | (F.col("__left") == 0), F.lit(False)).otherwise(
@@ -180,4 +183,4 @@ def mix(
     times = F.col("__whole") + inside.cast("int")
     drawn = rows.withColumn("__times", times.cast("int")).where("__times > 0")
     epoch = F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("epoch")
-    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns if c != "epoch"], epoch)
+    return drawn.select("__row.*", epoch)

@@ -66,19 +66,21 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SHINGLE
+) -> DataFrame:
     """``(id, fp)`` for every row of ``docs``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py()) for x in batch.column(1)]
+            found = [fingerprint(x.as_py(), size) for x in batch.column(1)]
             columns = [batch.column(0), pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "fp"])
 
     schema = T.StructType(
         [T.StructField("id", docs.schema[id_column].dataType), T.StructField("fp", T.LongType())]
     )
-    narrow = docs.select(F.col(id_column).alias("id"), binary_text(F.col(text)).alias("text"))
+    narrow = docs.select(F.col(f"`{id_column}`").alias("id"), binary_text(F.col(f"`{text}`")).alias("text"))
     return narrow.mapInArrow(scan, schema)
 
 
@@ -171,6 +173,7 @@ def near_duplicates(
     text: str = "text",
     radius: int = RADIUS,
     bucket: int = BUCKET,
+    size: int = SHINGLE,
 ) -> DataFrame:
     """``(id, fp, component_id)`` of every row: the least id that links within the radius reach.
 
@@ -178,7 +181,7 @@ def near_duplicates(
     come out as often as they come in.  A null id is never a component's name unless the component
     has no other.  An empty table gives no rows.
     """
-    made = written(fingerprints(docs, id_column, text), "fingerprints")
+    made = written(fingerprints(docs, id_column, text, size), "fingerprints")
     classes = made.groupBy("fp").agg(F.min("id").alias("first"))
     found = components(links(classes, radius, bucket))
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
@@ -189,24 +192,23 @@ def near_duplicates(
 
 
 def survivors(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", groups: DataFrame | None = None
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    radius: int = RADIUS,
+    size: int = SHINGLE,
 ) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id.
 
-    ``groups`` has ``(id, component_id)`` of every row; without it they are those of op2.
-
     Rows without an id pass unchanged, as they cannot be named.  Where rows share the id that
-    stays, the least of them by the other columns' text stays.
+    stays, the least of them by the other columns' text stays.  Columns may have any names.
     """
-    groups = near_duplicates(docs, id_column, text) if groups is None else groups
-    stay = groups.where("id = component_id").select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col(id_column) == F.col("__id"), "left_semi")
+    groups = near_duplicates(docs, id_column, text, radius, size=size)
+    stay = groups.where("id = component_id").select("id").distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), whole.alias("row"))
+    kept = rows.join(stay, "id", "left_semi")
     # Ids are unique but for repeated rows: only those are ordered by their content.
-    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
-    once = (
-        kept.withColumn("__digest", digest)
-        .groupBy(id_column)
-        .agg(F.min(F.struct("__digest", *docs.columns)).alias("__row"))
-        .select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
-    )
-    return once.unionByName(docs.where(F.col(id_column).isNull()))
+    digest = F.sha2(F.to_json("row").cast("binary"), 256)
+    once = kept.groupBy("id").agg(F.min(F.struct(digest.alias("digest"), "row")).alias("least"))
+    return once.select("least.row.*").unionByName(docs.where(F.col(f"`{id_column}`").isNull()))

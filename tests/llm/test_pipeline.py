@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from equivcheck.llm import mixing, quality
+from equivcheck.llm import mixing, pseudonyms, quality
 from equivcheck.llm.queries import WEIGHTS
 from test_brute_force import brute_fingerprint, brute_hits, luhn, repeated_words, roots, words
 
@@ -127,6 +127,7 @@ def test_pipeline_against_brute_force(spark, folder):
     for v in values:
         hidden = [(r[0], r[1].replace(v, brute_pseudonym(v)), *r[2:]) for r in hidden]
     assert hidden != clean
+    spark.conf.set(pseudonyms.SETTING, KEY)
     got = corpus_pipeline.run(spark, path).collect()
     assert Counter((r["doc_id"], r["text"], r["epoch"]) for r in got) == brute_mix(spark, hidden)
     assert all(r["n_chars"] == len(r["text"]) for r in got)
