@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equivcheck.llm import decontaminate, mixing, nearcopies, pseudonyms, quality, simhash
-from equivcheck.llm.common import table
+from equivcheck.llm import decontaminate, mixing, pseudonyms, quality, simhash
+from equivcheck.llm.common import table, unused
 from equivcheck.llm.queries import WEIGHTS, levels
 from equivcheck.session import written
 
@@ -31,13 +31,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rejected documents go; of the others the failing lines go."""
     # The row travels whole, so that columns of the judge's names stay what they are.
     judged = quality.judge(docs.select(F.struct("*").alias("__row"), "text")).where("kept")
-    rows = judged.select("__row.*", F.col("clean_text").alias("__clean"))
-    return _with_text(rows, F.col("__clean")).select(*docs.columns)
+    clean = unused(docs, "clean")[0]
+    rows = judged.select("__row.*", F.col("clean_text").alias(clean))
+    return _with_text(rows, F.col(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the least id stays."""
-    return simhash.survivors(docs, groups=nearcopies.groups(docs))
+    """Of each group of near-duplicates (shingles of four words, four bits) the one with the least id stays."""
+    return simhash.survivors(docs, radius=simhash.RADIUS, size=simhash.SHINGLE)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values are replaced by their pseudonyms."""
-    replaced = pseudonyms.replace(docs, count="__n_pii")
-    return _with_text(replaced, F.col("text")).select(*docs.columns)
+    replaced = pseudonyms.replace(docs, count=unused(docs, "n_pii")[0])
+    return _with_text(replaced, F.col("text")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
