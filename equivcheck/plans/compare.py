@@ -8,10 +8,9 @@ The tolerant part runs only where the exact one finds a difference and there
 are floating-point columns.  Within each group of equal exact columns it pairs
 the k-th smallest value of one side with the k-th smallest of the other; for one
 floating-point column this finds a pairing within tolerance whenever there is
-one.  With several, groups are first cut into clusters, wherever a gap in one of
-the columns is wider than the tolerance: no pair spans two clusters, and most
-hold one row a side.  Counts stay counts: a value that occurs a billion times is
-one run of ranks.  Groups of any size are scanned in blocks (``operators.scan``).
+one.  With several it takes a matching (``plans.pairing``).  Counts stay counts: a
+value that occurs a billion times is one run of ranks.  Groups of any size are
+scanned in blocks (``operators.scan``).
 """
 
 from __future__ import annotations
@@ -23,12 +22,11 @@ from pyspark.sql import functions as F
 
 from equivcheck import types
 from equivcheck.operators.scan import running
+from equivcheck.plans import pairing
 from equivcheck.session import shuffle_partitions, written
 
 # Verdict names, and the absolute tolerance for floats.
 EQUAL, REORDERED, DIFF, ERROR = "Equal", "Reordered", "Diff", "Error"
-# Not certain: no pairing within tolerance was found, but not all were tried.
-UNKNOWN = "Unknown"
 ATOL = 1e-3
 
 RTOL = 1e-9
@@ -39,9 +37,8 @@ GROUP_LIMIT = 1_000_000
 class Verdict:
     """``differing`` counts rows without an exact partner on the other side.
 
-    ``tolerant`` marks results that agree only within tolerance.  ``Unknown`` (and ``maybe``) is
-    said where several floating-point columns were paired at once and a cluster of several rows
-    might still have a pairing that was not tried: never a ``Diff`` that may be none.
+    ``tolerant`` marks results that agree only within tolerance.  Verdicts are certain, ``maybe`` is
+    never set; the column is kept as stored tables have it.
     """
 
     relation: str
@@ -145,16 +142,15 @@ def compare(
     paired = pairs_within_tolerance(_counted(left, right), floats, atol, rtol, group_limit)
     if paired:
         return Verdict(REORDERED, tolerant=True, **counts)
-    return Verdict(UNKNOWN if paired is None else DIFF, maybe=paired is None, **counts)
+    return Verdict(DIFF, **counts)
 
 
-def _in_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int, limit: int) -> DataFrame:
-    """``df`` with ``block``: range partitions, as many as keep them near ``limit`` rows.
+def _in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``block``: range partitions, as many as the session shuffles into.
 
     Writing them down fixes their bounds.
     """
-    parts = max(shuffle_partitions(df.sparkSession), -(-rows // limit))
-    ranged = df.repartitionByRange(parts, *keys, *order)
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys, *order)
     return written(ranged.withColumn("block", F.spark_partition_id()), "ranges")
 
 
@@ -164,8 +160,6 @@ def _clustered(
     near: list[str],
     atol: float,
     rtol: float,
-    rows: int,
-    limit: int,
     blocked: bool,
 ) -> tuple[DataFrame, list[str]]:
     """Add a cluster number per floating-point column; no two close rows are in different clusters.
@@ -181,7 +175,7 @@ def _clustered(
         for mark, c in zip(marks, near, strict=True):
             group = [*exact, *[m for m in marks if m != mark]]
             rest = now.drop(mark)
-            rest = _in_blocks(rest, group, [c], rows, limit) if blocked else rest
+            rest = _in_blocks(rest, group, [c]) if blocked else rest
             last = running(rest, group, [c], {"last": ("max_before", c)}, block)
             # A little wider than the tolerance, as relative bounds differ along a chain.
             gap = ~close(F.col(c), F.col("last"), atol * 1.001, rtol * 1.001)
@@ -197,51 +191,32 @@ def _clustered(
 
 def pairs_within_tolerance(
     bag: DataFrame, floats: list[int], atol: float, rtol: float, group_limit: int
-) -> bool | None:
-    """Whether equal-rank rows of both sides are close in every group of equal exact columns.
+) -> bool:
+    """Whether the rows of both sides can be paired off within tolerance.
 
-    True and False are certain, None says that no pairing was found although one
-    may exist (several floating-point columns and several rows in a cluster).
+    With one floating-point column equal ranks are close in every group of equal exact columns if
+    there is a pairing at all; with several it takes a matching (``plans.pairing``).
     """
     bag = written(bag, "bag")
     near = [f"c{i}" for i in floats]
     exact = [c for c in bag.columns if c.startswith("c") and c not in near]
 
-    def sizes(df: DataFrame, keys: list[str]):
-        groups = df.groupBy(*keys).agg(
+    def by_rank(df: DataFrame, groups: list[str], order: list[str]) -> bool:
+        sizes = df.groupBy(*groups).agg(
             F.count(F.lit(1)).alias("n"), F.sum("nl").alias("nl"), F.sum("nr").alias("nr")
         )
-        return groups.agg(
-            F.max("n").alias("largest"), F.sum("n").alias("rows"), F.sum(_uneven()).alias("uneven")
-        ).first()
-
-    stats = sizes(bag, exact)
-    if stats.uneven:
-        return False
-    blocked = not exact or stats.largest > group_limit
-    if len(near) > 1:
-        bag, marks = _clustered(bag, exact, near, atol, rtol, stats.rows, group_limit, blocked)
-        exact = [*exact, *marks]
-        stats = sizes(bag, exact)
-        if stats.uneven:  # rows that nothing on the other side is close to
+        stats = sizes.agg(F.max("n").alias("largest"), F.sum(_uneven()).alias("uneven")).first()
+        if stats.uneven:
             return False
-        blocked = stats.largest > group_limit
-
-    # With several floating-point columns each is tried as the leading one, on clusters still open.
-    left = bag
-    for lead in range(len(near)):
-        order = near[lead:] + near[:lead]
-        far = _far_ranks(left, exact, order, atol, rtol, group_limit, blocked, stats.rows)
-        if len(near) == 1:
-            return far.isEmpty()
-        keys = written(far.select(*exact).distinct(), "open")
-        if keys.isEmpty():
-            return True
-        same = [left[k].eqNullSafe(keys[k]) for k in exact]
-        left = written(left.join(keys, same, "left_semi"), "bag")
-    # A cluster of two different rows has one pairing only.
-    single = left.groupBy(*exact).agg(F.count(F.lit(1)).alias("n")).where("n <= 2")
-    return None if single.isEmpty() else False
+        blocked = not groups or (stats.largest or 0) > group_limit
+        return _far_ranks(df, groups, order, atol, rtol, group_limit, blocked).isEmpty()
+
+    if len(near) == 1:
+        return by_rank(bag, exact, near)
+    limit = min(group_limit, pairing.LIMIT)
+    return pairing.paired(
+        bag, exact, near, atol, rtol, lambda a, b: close(a, b, atol, rtol), by_rank, limit
+    )
 
 
 def _far_ranks(
@@ -252,11 +227,10 @@ def _far_ranks(
     rtol: float,
     group_limit: int,
     blocked: bool,
-    rows: int,
 ) -> DataFrame:
     """Ranks at which the rows of both sides, put in order, are not close."""
     if blocked:
-        bag = _in_blocks(bag, exact, order, rows, group_limit)
+        bag = _in_blocks(bag, exact, order)
     ranked = running(
         bag,
         exact,
@@ -344,9 +318,8 @@ def _without_close(
     columns = uneven.columns
     exact = [c for c in columns if c.startswith("c") and c not in near]
     sizes = uneven.groupBy(*exact).agg(F.count(F.lit(1)).alias("n"))
-    stats = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    rows, blocked = stats.rows or 0, (stats.largest or 0) > limit
-    bag, marks = _clustered(uneven, exact, near, atol, rtol, rows, limit, blocked)
+    blocked = (sizes.agg(F.max("n")).first()[0] or 0) > limit
+    bag, marks = _clustered(uneven, exact, near, atol, rtol, blocked)
     keys = [*exact, *marks]
     over = F.col("nl") - F.col("nr")
     edges = [f(c).alias(f"{name}_{c}") for c in near for name, f in (("low", F.min), ("high", F.max))]
@@ -355,7 +328,7 @@ def _without_close(
     for c in near:
         tight = tight & close(F.col(f"low_{c}"), F.col(f"high_{c}"), atol, rtol)
     named = sums.select(*[F.col(k).alias(f"{k}__key") for k in keys], "more", tight.alias("tight"))
-    bag = _in_blocks(bag, keys, near, rows, limit) if blocked else bag
+    bag = _in_blocks(bag, keys, near) if blocked else bag
     whole = bag.join(named, [F.col(k).eqNullSafe(F.col(f"{k}__key")) for k in keys])
     whole = whole.drop(*[f"{k}__key" for k in keys])
     # The side with more rows lists its first ones, until what it has more is reached.

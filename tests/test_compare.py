@@ -2,10 +2,12 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from equivcheck.plans import pairing
 from equivcheck.plans.compare import close, compare, diff_rows
 
 # The golden rows (ts, id, value).
@@ -153,19 +155,76 @@ def _perfect(left, right, atol):
     return all(find(i, set()) for i in range(len(left)))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_several_columns_against_all_pairings(spark, seed):
-    """Reordered and Diff are certain; Unknown may be either."""
+@pytest.mark.parametrize("group_limit", [1_000_000, 4])
+@pytest.mark.parametrize("seed", range(4))
+def test_several_columns_against_all_pairings(spark, seed, group_limit):
+    """Verdicts are certain; with the small limit components are matched on a table of edges."""
     rng = random.Random(seed)
-    left = [(rng.randrange(12) / 20, rng.randrange(12) / 20) for _ in range(30)]
-    right = [tuple(v + rng.uniform(-0.03, 0.03) for v in row) for row in left]
+    left = [(rng.randrange(3), rng.randrange(12) / 20, rng.randrange(12) / 20) for _ in range(45)]
+    right = [(row[0], *(v + rng.uniform(-0.03, 0.03) for v in row[1:])) for row in left]
     if seed % 2:
-        right[3] = (right[3][0], right[3][1] + 0.09)
+        right[3] = (right[3][0], right[3][1], right[3][2] + 0.09)
     rng.shuffle(right)
-    ddl = "x double, y double"
-    got = compare(_values(spark, left, ddl), _values(spark, right, ddl), atol=0.031, rtol=0.0)
+    ddl = "k int, x double, y double"
+    frames = _values(spark, left, ddl), _values(spark, right, ddl)
+    got = compare(*frames, atol=0.031, rtol=0.0, group_limit=group_limit)
     expected = {True: "Reordered", False: "Diff"}[_perfect(left, right, 0.031)]
-    assert got.relation in (expected, "Unknown")
+    assert (got.relation, got.maybe) == (expected, False)
+
+
+def _crossed(n):
+    """Rows in one dense component that have a pairing, which no order along a column gives."""
+    rng = random.Random(n)
+    left = [(rng.uniform(0, n / 60), rng.uniform(0, n / 60)) for _ in range(n)]
+    right = [(x + rng.choice([-0.9, 0.9]) * 0.05, y + rng.choice([-0.9, 0.9]) * 0.05) for x, y in left]
+    return left, rng.sample(right, n)
+
+
+@pytest.mark.parametrize("group_limit", [1_000_000, 4])
+def test_pairing_that_ranks_miss(spark, group_limit):
+    left, right = _crossed(60)
+    assert _perfect(left, right, 0.05)
+    ddl = "x double, y double"
+    got = compare(_values(spark, left, ddl), _values(spark, right, ddl), atol=0.05, rtol=0.0, group_limit=group_limit)
+    assert (got.relation, got.tolerant) == ("Reordered", True)
+
+
+def test_copies_are_matched_as_counts():
+    """Against the same rows one by one, on small sets where many matchings fail."""
+    rng, seen = random.Random(1), set()
+    for _ in range(400):
+        left, right = Counter(), Counter()
+        for _ in range(rng.randint(1, 7)):
+            row, n = (rng.randrange(6) / 20, rng.randrange(6) / 20), rng.randint(1, 4)
+            left[row] += n
+            for _ in range(n):
+                right[tuple(round(v + rng.choice([-0.05, 0, 0.05, 0.1 if rng.random() < 0.1 else 0]), 6) for v in row)] += 1
+        expected = _perfect(list(left.elements()), list(right.elements()), 0.051)
+        sides = [[(n, row) for row, n in side.items()] for side in (left, right)]
+        assert pairing.perfect(*sides, 0.051, 0.0) == expected
+        seen.add(expected)
+    assert seen == {True, False}
+
+
+def test_places_of_close_values_are_neighbours(spark):
+    rng = random.Random(2)
+    rows = [(rng.uniform(-1, 1) * 10.0 ** rng.randint(-5, 15),) for _ in range(3000)]
+    rows += [(0.0,), (1e6,), (-1e6,), (999_999.9995,)]
+    v = F.col("v")
+    near = _values(spark, rows, "v double").select("v", F.explode(F.array(F.lit(0.99e-3), v * 0.99e-9, v * -0.99e-9)).alias("by"))
+    cells = [pairing.cell(c, 1e-3, 1e-9) for c in (v, v + F.col("by"))]
+    assert near.where(close(v, v + F.col("by"))).where(F.abs(cells[0] - cells[1]) > 1).isEmpty()
+
+
+def test_missing_values_in_several_columns(spark):
+    inf, nan = math.inf, math.nan
+    left = [(None, 1.0, 2.0), (nan, 1.0, 2.0), (inf, 1.0, None), (-inf, 1.0, nan), (0.0, None, -0.0)]
+    right = [(x, y if y is None else y + 0.0004, z if z is None else z + 0.0004) for x, y, z in left]
+    ddl = "x double, y double, z double"
+    for limit in (1_000_000, 1):
+        assert compare(_values(spark, left, ddl), _values(spark, right, ddl), group_limit=limit).relation == "Reordered"
+    other = [(inf if x == -inf else x, y, z) for x, y, z in right]
+    assert compare(_values(spark, left, ddl), _values(spark, other, ddl)).relation == "Diff"
 
 
 def _brute(left, right, atol):
