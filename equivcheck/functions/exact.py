@@ -4,7 +4,9 @@ A plain ``sum(bigint)`` overflows on full-range data and a decimal sum
 allocates a big number per row.  Here a value is cut into three limbs whose
 bigint sums stay in range for 2^42 rows per group; all of it runs on primitive
 longs inside generated code, and one decimal per *group* puts the limbs back
-together.
+together.  Sums that are to be merged carry over first: their lower limbs are short
+again and a fourth one takes what goes beyond, so any number of parts can be
+added up.
 """
 
 from __future__ import annotations
@@ -34,24 +36,56 @@ def limbs(value: Column) -> list[Column]:
     ]
 
 
+def carried(sums: list[Column]) -> list[Column]:
+    """Sums of three or four limbs as four: all but the last are limbs of ``BITS`` bits again.
+
+    They stand for the same number.  The fourth counts multiples of 2^63.
+    """
+    mask = F.lit(_MASK).cast("bigint")
+    low, mid, top = sums[:3]
+    mid = mid + F.shiftright(low, BITS)
+    top = top + F.shiftright(mid, BITS)
+    over = F.shiftright(top, BITS)
+    return [
+        low.bitwiseAND(mask),
+        mid.bitwiseAND(mask),
+        top.bitwiseAND(mask),
+        over + sums[3] if len(sums) > 3 else over,
+    ]
+
+
 def combine(sums: list[Column], into: str = "decimal(38,0)") -> Column:
-    """Limb sums back to one number of type ``into``.
+    """Limb sums, three or four, back to one number of type ``into``.
 
     Nearly every group fits a bigint; the decimal form is evaluated only for
     the ones whose estimate is not safely within its range.
     """
-    low, mid, top = sums
+    low, *higher = sums
     step = F.lit(1 << BITS).cast("bigint")
     safe = F.lit(float(2**62))
     rough = F.lit(float(1 << BITS))
-    estimate = low.cast("double") + rough * (mid.cast("double") + rough * top.cast("double"))
-    wide = [s.cast("decimal(20,0)") for s in sums]
     factor = F.lit(1 << BITS).cast("decimal(8,0)")
-    long = wide[0] + wide[1] * factor + (wide[2] * factor).cast("decimal(30,0)") * factor
-    return F.when(
-        (F.abs(estimate) < safe) & (low.cast("double") < safe),
-        (low + step * (mid + step * top)).cast(into),
-    ).otherwise(long.cast("decimal(38,0)").cast(into))
+    estimate, short, long = (c(higher[-1]) for c in (_double, _plain, _wide))
+    for s in reversed(higher[:-1]):
+        estimate = _double(s) + rough * estimate
+        short = s + step * short
+        long = _wide(s) + (long * factor).cast("decimal(38,0)")
+    estimate = _double(low) + rough * estimate
+    fits = (F.abs(estimate) < safe) & (_double(low) < safe)
+    long = _wide(low) + (long * factor).cast("decimal(38,0)")
+    return F.when(fits, (low + step * short).cast(into)).otherwise(long.cast("decimal(38,0)").cast(into))
+
+
+def _plain(c: Column) -> Column:
+    return c
+
+
+def _double(c: Column) -> Column:
+    return c.cast("double")
+
+
+def _wide(c: Column) -> Column:
+    return c.cast("decimal(20,0)")
 
 
 def exact_sum(value: Column) -> Column:

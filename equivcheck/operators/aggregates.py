@@ -67,6 +67,8 @@ class Measure:
         if self.agg in ("min", "max", "count"):
             return self.direct()
         parts = self._sum_parts()
+        if self._digits is not None:
+            parts = self._limbs(exact.carried(list(parts.values())))
         if self.agg == "avg":
             parts["count"] = F.count(F.col(self.field))
         return parts
@@ -77,13 +79,17 @@ class Measure:
             return {self.name: F.min(F.col(self.name))}
         if self.agg == "max":
             return {self.name: F.max(F.col(self.name))}
-        return {name: F.sum(F.col(name)) for name in self.partial()}
+        sums = {name: F.sum(F.col(name)) for name in self.partial()}
+        if self.agg == "count" or self._digits is None:
+            return sums
+        limbs = [c for name, c in sums.items() if name != "count"]
+        return sums | self._limbs(exact.carried(limbs))
 
     def final(self) -> dict[str, Column]:
         """Last step: the result from the merged columns."""
         if self.agg in ("min", "max", "count"):
             return {self.name: F.col(self.name)}
-        sums = [F.col(n) for n in self._sum_parts()]
+        sums = [F.col(n) for n in self.partial() if n != "count"]
         if self.agg == "sum":
             return {self.name: self._sum_value(sums)}
         return {self.name: self._avg_value(sums, F.col("count"))}
@@ -98,11 +104,15 @@ class Measure:
         col = F.col(self.field)
         if self._digits is not None:
             cut = exact.limbs(exact.unscaled(col, self._digits))
-            return {f"sum{i}": F.sum(limb) for i, limb in enumerate(cut)}
+            return self._limbs([F.sum(limb) for limb in cut])
         if isinstance(self.dtype, T.DecimalType):
             col = col.cast(T.DecimalType(38, self.dtype.scale))
         return {"sum": F.sum(col)}
 
+    @staticmethod
+    def _limbs(sums: list[Column]) -> dict[str, Column]:
+        return {f"sum{i}": s for i, s in enumerate(sums)}
+
     def _sum_value(self, sums: list[Column]) -> Column:
         """Sums of parts as one value: both sides of a relation declare the same type."""
         if self._digits is None:

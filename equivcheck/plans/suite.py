@@ -23,9 +23,13 @@ from pyspark.sql import types as T
 
 from equivcheck import types
 from equivcheck.functions.predicates import ExpressionPool, quantiles, splitting_predicates
-from equivcheck.plans.compare import ATOL, DIFF, ERROR, RTOL, Verdict, compare, diff_rows
+from equivcheck.plans import multiset
+from equivcheck.plans.compare import ATOL, DIFF, EQUAL, ERROR, RTOL, Verdict, compare, diff_rows
+from equivcheck.plans.multiset import Digest
 from equivcheck.plans.relations import RELATIONS, Params, origin, other
 from equivcheck.plans.report import FAILED, SKIPPED, SUCCESS, TIMED_OUT
+from equivcheck.session import remove
+from equivcheck.streaming.bounded import Handle, run_bounded
 
 # Ranges that windows are drawn from, in milliseconds.
 WINDOW_MS = (200, 20_000)
@@ -38,12 +42,17 @@ ORIGIN = "Origin"
 
 @dataclass(frozen=True)
 class SuiteSource:
-    """A source for suites.  ``scales`` are the decimal digits of double columns."""
+    """A source for suites.  ``scales`` are the decimal digits of double columns.
+
+    With ``stream`` the cases run over that streaming frame, each as a query of its own up to the end
+    of its input; ``frame`` then only serves to draw literals and predicates from.
+    """
 
     name: str
     frame: DataFrame
     scales: dict[str, int] = field(default_factory=dict)
     key: str = "key"
+    stream: DataFrame | None = None
 
     @property
     def value_fields(self) -> list[str]:
@@ -96,11 +105,12 @@ class Case:
     def _keys(self) -> tuple[str, ...]:
         return (self.key,) if RELATIONS[self.strategy].family == "keyagg" else ()
 
-    def build(self, source: SuiteSource) -> DataFrame:
+    def build(self, source: SuiteSource, frame: DataFrame | None = None) -> DataFrame:
         rel = RELATIONS[self.strategy]
+        frame = source.frame if frame is None else frame
         if self.case_id == ORIGIN:
-            return origin(rel, source.frame, self.params())
-        return other(rel, source.frame, self.params(), self.predicate, self.mode)
+            return origin(rel, frame, self.params())
+        return other(rel, frame, self.params(), self.predicate, self.mode)
 
 
 CASE_SCHEMA = (
@@ -208,16 +218,26 @@ def _result_path(out: str, run_id: int, set_id: int, case_id: str) -> str:
     return f"{run_dir(out, run_id)}/results/set{set_id}-{case_id}"
 
 
-def execute(case: Case, sources: dict[str, SuiteSource], timeout_s: float | None) -> tuple:
-    """Run one case and write its result: (status, reason)."""
-    spark = sources[case.source].frame.sparkSession
+def execute(
+    case: Case,
+    sources: dict[str, SuiteSource],
+    timeout_s: float | None,
+    digests: dict[str, Digest] | None = None,
+) -> tuple:
+    """Run one case and write its result: (status, reason).
+
+    A batch result's digest is put into ``digests`` under its path.
+    """
+    source = sources[case.source]
+    spark = source.frame.sparkSession
     tag = f"equivcheck-{case.run_id}-{case.set_id}-{case.case_id}"
-    expired, ended = threading.Event(), threading.Event()
+    expired, ended, handle = threading.Event(), threading.Event(), Handle()
 
     def watch():
         if ended.wait(timeout_s):
             return
         expired.set()
+        handle.stop()
         # A query that is being planned has no job yet: cancel until the case has ended.
         while not ended.is_set():
             spark.sparkContext.cancelJobsWithTag(tag)
@@ -227,10 +247,15 @@ def execute(case: Case, sources: dict[str, SuiteSource], timeout_s: float | None
     try:
         if timeout_s:
             threading.Thread(target=watch, daemon=True).start()
-        frame = case.build(sources[case.source])
+        if source.stream is not None:
+            _stream(case, source, handle)
+            return SUCCESS, None
+        frame = case.build(source)
         if expired.is_set():  # while the query was being planned there was no job to cancel
             return TIMED_OUT, None
-        frame.write.mode("overwrite").parquet(case.result_path)
+        found = multiset.write(frame, case.result_path)
+        if found is not None and digests is not None:
+            digests[case.result_path] = found
         return SUCCESS, None
     except Exception as error:  # a failed query is a finding of the suite, not the end of it
         return (TIMED_OUT, None) if expired.is_set() else (FAILED, str(error).split("\n")[0])
@@ -239,6 +264,15 @@ def execute(case: Case, sources: dict[str, SuiteSource], timeout_s: float | None
         spark.sparkContext.removeJobTag(tag)
 
 
+def _stream(case: Case, source: SuiteSource, handle: Handle) -> None:
+    """Run a case over its source's stream into an empty folder."""
+    remove(source.frame.sparkSession, case.result_path)
+    windows = RELATIONS[case.strategy].agg is not None
+    run_bounded(
+        source.stream, lambda df: case.build(source, df), windows=windows, out=case.result_path, handle=handle
+    )
+
+
 def run_set(
     spark: SparkSession,
     cases: list[Case],
@@ -248,21 +282,22 @@ def run_set(
     """Run and judge one set.  Without an origin there is nothing to judge: others are skipped."""
     first, rest = cases[0], cases[1:]
     execs, results = [], []
+    digests: dict[str, Digest] = {}
 
     def note(case: Case, status: str, reason: str | None) -> None:
         execs.append((case.run_id, case.set_id, case.case_id, case.strategy, status, reason))
 
-    status, reason = execute(first, sources, config.timeout_s)
+    status, reason = execute(first, sources, config.timeout_s, digests)
     note(first, status, reason)
     for case in rest:
         if execs[0][4] != SUCCESS:
             note(case, SKIPPED, f"origin: {execs[0][4]}")
             continue
-        status, reason = execute(case, sources, config.timeout_s)
+        status, reason = execute(case, sources, config.timeout_s, digests)
         note(case, status, reason)
         if status == SUCCESS:
             try:
-                verdict = judge(spark, first, case, config)
+                verdict = judge(spark, first, case, config, digests)
             except Exception as error:  # a comparison that fails is a finding as well
                 verdict = Verdict(ERROR, reason=str(error).split("\n")[0])
             head = (case.run_id, case.set_id, case.case_id, case.strategy)
@@ -270,7 +305,17 @@ def run_set(
     return execs, results
 
 
-def judge(spark: SparkSession, first: Case, case: Case, config: SuiteConfig):
+def judge(
+    spark: SparkSession,
+    first: Case,
+    case: Case,
+    config: SuiteConfig,
+    digests: dict[str, Digest] | None = None,
+) -> Verdict:
+    """Compare two written results; those with equal digests are not read again."""
+    left, right = ((digests or {}).get(c.result_path) for c in (first, case))
+    if left is not None and left == right:
+        return Verdict(EQUAL, left.rows, right.rows, 0)
     return compare(
         spark.read.parquet(first.result_path),
         spark.read.parquet(case.result_path),

@@ -21,7 +21,7 @@ from equivcheck.functions.predicates import (
 )
 from equivcheck.operators.aggregates import AGGREGATES, Measure
 from equivcheck.operators.windows import event_millis, millis, tumbling
-from equivcheck.plans import report, suite
+from equivcheck.plans import multiset, report, suite
 from equivcheck.plans.compare import compare, diff_rows
 from equivcheck.plans.relations import RELATIONS, Params, origin, other
 from equivcheck.session import new_dir
@@ -549,6 +549,33 @@ def compare_two_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(left, right)
 
 
+def compare_crossed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense groups of sixty rows: rows have partners, but not those of equal rank in either column."""
+    events = _identified(spark, sf_dir).select("event_id")
+    i = F.col("event_id")
+    left = events.select(
+        F.floor(i / 60).alias("part"), (i * 7919 % 13 * 0.0004).alias("x"), (i * 104_729 % 17 * 0.0004).alias("y"), "event_id"
+    )
+    off = [F.when(i % n < n / 2, 0.0009).otherwise(-0.0009) for n in (7, 11)]
+    right = left.select("part", (F.col("x") + off[0]).alias("x"), (F.col("y") + off[1]).alias("y"))
+    return _judged(left.drop("event_id"), right)
+
+
+def compare_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bags told apart by the digests that are taken while they are written."""
+    rel, p = RELATIONS["Filter"], SETTINGS["lineitem"]
+    rows = LINEITEM.read(spark, sf_dir)
+    path = new_dir(spark, "digests")
+    split = other(rel, rows, p, PREDICATES["lineitem"][1])
+    digests = {
+        name: multiset.write(frame, f"{path}/{name}")
+        for name, frame in {"origin": origin(rel, rows, p), "split": split, "fewer": rows.where("key != 7")}.items()
+    }
+    first = digests["origin"]
+    made = [(name, d.rows, d == first) for name, d in digests.items()]
+    return spark.createDataFrame(made, "name STRING, rows BIGINT, same BOOLEAN")
+
+
 # -- streaming ------------------------------------------------------------------
 
 
@@ -581,6 +608,18 @@ def stream_many_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_other(source, RELATIONS["AggCount"], p, _predicate("events", "AggCount"))
 
 
+def suite_verdicts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random suite whose cases run as streams, judged like any other."""
+    events = replace(_suite_sources(spark, sf_dir)[0], stream=EVENTS.stream(spark, sf_dir))
+    config = suite.SuiteConfig(
+        relations=("Filter", "AggCount", "KeyAggAvg"), reps=1, others=1, seed=5, time_scale=3600, parallel_sets=3
+    )
+    verdicts = suite.run_suite(spark, [events], config, new_dir(spark, "suite"))
+    # Of the windows that the suite draws nothing is known beforehand.
+    filtered = F.when(F.col("strategy") == "Filter", F.col("left_rows")).otherwise(0).alias("filtered")
+    return verdicts.select("set_id", "case_id", "strategy", "relation", filtered)
+
+
 def stream_csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as CSV by five producers and taken as a stream, row by row."""
     path = new_dir(spark, "producers")
@@ -612,6 +651,8 @@ OPERATORS = [
     compare_reordered,
     compare_ordered_equal,
     compare_two_floats,
+    compare_crossed_pairs,
+    compare_by_digest,
     compare_missing,
     compare_doubled,
     compare_missing_doubled,
@@ -628,6 +669,7 @@ OPERATORS = [
     suite_predicates,
     report_of_runs,
     suite_verdicts,
+    suite_verdicts_stream,
     stream_many_triggers,
     stream_csv_source,
     replay_pair,

@@ -396,6 +396,21 @@ def all_sql() -> dict[str, str]:
                 AS relation, count(*) AS left_rows, count(*) AS right_rows,
                 (SELECT count(*) FROM (FROM l EXCEPT ALL FROM r))
                 + (SELECT count(*) FROM (FROM r EXCEPT ALL FROM l)) AS differing, TRUE AS tolerant FROM l""",
+            "compare_crossed_pairs": """
+                WITH e AS (SELECT event_id AS i, event_id // 60 AS part, event_id * 7919 % 13 * 0.0004::DOUBLE AS x,
+                    event_id * 104729 % 17 * 0.0004::DOUBLE AS y FROM events),
+                l AS (SELECT part, x, y FROM e),
+                m AS (SELECT part, x, y, x + CASE WHEN i % 7 < 3.5 THEN 0.0009::DOUBLE ELSE -0.0009 END AS u,
+                    y + CASE WHEN i % 11 < 5.5 THEN 0.0009::DOUBLE ELSE -0.0009 END AS v FROM e),
+                r AS (SELECT part, u, v FROM m)
+                SELECT CASE WHEN (SELECT bool_and(abs(x - u) < 1e-3 AND abs(y - v) < 1e-3) FROM m) THEN 'Reordered' ELSE 'Diff' END
+                AS relation, count(*) AS left_rows, count(*) AS right_rows,
+                (SELECT count(*) FROM (FROM l EXCEPT ALL FROM r))
+                + (SELECT count(*) FROM (FROM r EXCEPT ALL FROM l)) AS differing, TRUE AS tolerant FROM l""",
+            "compare_by_digest": f"""
+                WITH l AS (SELECT count(*) AS n, count(*) FILTER (key <> 7) AS fewer FROM {LINEITEM})
+                SELECT 'origin' AS name, n AS rows, TRUE AS same FROM l UNION ALL SELECT 'split', n, TRUE FROM l
+                UNION ALL SELECT 'fewer', fewer, n = fewer FROM l""",
             "extract_diffs": """
                 SELECT 'left' AS side, 1::BIGINT AS n, event_id, value FROM events WHERE event_id % 100 = 0
                 UNION ALL SELECT 'right', 1, event_id, value + 0.5 FROM events WHERE event_id % 100 = 0""",
@@ -440,6 +455,9 @@ def all_sql() -> dict[str, str]:
             "'Equal' AS relation FROM (VALUES "
             + ", ".join(f"({i}, '{n}')" for i, n in enumerate(RELATIONS))
             + ") v(i, name)",
+            "suite_verdicts_stream": "SELECT i::INTEGER AS set_id, 'Other0' AS case_id, name AS strategy, 'Equal' AS relation, "
+            "CASE WHEN name = 'Filter' THEN (SELECT count(*) FROM events) ELSE 0 END AS filtered "
+            "FROM (VALUES (0, 'Filter'), (1, 'AggCount'), (2, 'KeyAggAvg')) v(i, name)",
             "replay_pair": keyed,
         }
     )

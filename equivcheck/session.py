@@ -40,6 +40,12 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a result that is to be written anew."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, values are fixed."""
     path = new_dir(df.sparkSession, label)

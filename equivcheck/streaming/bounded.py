@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from equivcheck.operators.windows import stream_time
 from equivcheck.plans.relations import Params, Relation, origin, other
@@ -29,6 +30,7 @@ WHOLE_SPAN = "365000 days"
 _starting = threading.Lock()
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_KEPT, KEPT_REPORTS = "spark.sql.streaming.numRecentProgressUpdates", 1000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,8 +51,12 @@ def run_bounded(
     windows: bool = True,
     rocksdb: bool = True,
     partitions: int | None = None,
+    out: str | None = None,
+    handle: Handle | None = None,
 ) -> DataFrame:
-    """Run ``build(source)`` to its end and return what it wrote.
+    """Run ``build(source)`` to its end and return what it wrote, to ``out`` if given.
+
+    Through ``handle`` another thread can stop the run, which then ends with ``Stopped``.
 
     Set ``windows=False`` for queries without aggregation: they emit every row
     at once and must not see the end-of-stream row.  State is kept in RocksDB,
@@ -65,23 +71,71 @@ def run_bounded(
         settings[_PROVIDER] = _ROCKSDB
     if partitions is not None:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
+    end = (base, out or f"{base}/out", settings, handle or Handle())
     if not windows:
-        return _run(spark, build(with_event_time(source, delay)), base, settings)
+        return _run(spark, build(with_event_time(source, delay)), *end)
 
     ending = f"{base}/end"
     spark.createDataFrame([], source.schema).coalesce(1).write.parquet(ending)
     ends = spark.readStream.schema(source.schema).parquet(ending)
     query = build(with_event_time(source.unionByName(ends), delay))
-    _run(spark, query, base, settings)
+    _run(spark, query, *end)
     last = [
         F.lit(END_OF_STREAM_MS if f.name == "ts" else None).cast(f.dataType).alias(f.name)
         for f in source.schema
     ]
     spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(ending)
-    return _run(spark, query, base, settings)
+    return _run(spark, query, *end)
+
+
+class Stopped(Exception):
+    """A run that was stopped before its end."""
+
+
+class Handle:
+    """Stops a run from another thread, whichever of its steps it has come to."""
+
+    def __init__(self):
+        self._lock, self._query, self.stopped = threading.Lock(), None, False
 
+    def take(self, query: StreamingQuery) -> None:
+        with self._lock:
+            self._query = query
+            if self.stopped:
+                query.stop()
 
-def _run(spark: SparkSession, query: DataFrame, base: str, settings: dict[str, str]) -> DataFrame:
+    def stop(self) -> None:
+        with self._lock:
+            self.stopped = True
+            if self._query is not None:
+                self._query.stop()
+
+
+def late_rows(query: StreamingQuery, kept: int, every_s: float = 0.5) -> int:
+    """Rows that a query dropped as late, over all of its triggers, once it has ended.
+
+    Spark keeps the last ``kept`` reports.  They are read while the query runs, often enough to meet each
+    of them; where some may have gone in between that is an error, as late rows may be behind it.
+    """
+    dropped: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(every_s)
+        reports = query.recentProgress
+        if dropped and len(reports) >= kept and not any(r["batchId"] in dropped for r in reports):
+            raise ValueError("reports of some triggers are missing; late rows cannot be counted")
+        for report in reports:
+            late = sum(state["numRowsDroppedByWatermark"] for state in report["stateOperators"])
+            dropped[report["batchId"]] = max(late, dropped.get(report["batchId"], 0))
+    return sum(dropped.values())
+
+
+def _run(
+    spark: SparkSession, query: DataFrame, base: str, out: str, settings: dict[str, str], handle: Handle
+) -> DataFrame:
+    if handle.stopped:
+        raise Stopped
+    settings = {_KEPT: str(KEPT_REPORTS)} | settings
     with _starting:
         before = {name: spark.conf.get(name, None) for name in settings}
         try:
@@ -90,7 +144,7 @@ def _run(spark: SparkSession, query: DataFrame, base: str, settings: dict[str, s
             running = (
                 query.writeStream.format("parquet")
                 .outputMode("append")
-                .option("path", f"{base}/out")
+                .option("path", out)
                 .option("checkpointLocation", f"{base}/checkpoint")
                 .trigger(availableNow=True)
                 .start()
@@ -102,15 +156,13 @@ def _run(spark: SparkSession, query: DataFrame, base: str, settings: dict[str, s
                     spark.conf.unset(name)
                 else:
                     spark.conf.set(name, value)
-    running.awaitTermination()
-    late = sum(
-        state["numRowsDroppedByWatermark"]
-        for progress in running.recentProgress
-        for state in progress["stateOperators"]
-    )
+    handle.take(running)
+    late = late_rows(running, KEPT_REPORTS)
+    if handle.stopped:
+        raise Stopped
     if late:
         raise ValueError(f"{late} rows came later than the delay allows; give a longer delay")
-    return spark.read.schema(query.schema).parquet(f"{base}/out")
+    return spark.read.schema(query.schema).parquet(out)
 
 
 def stream_origin(source: DataFrame, rel: Relation, p: Params, **run) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equivcheck.functions import arith
-from equivcheck.functions.exact import exact_sum, unscaled
+from equivcheck.functions.exact import carried, combine, exact_sum, limbs, unscaled
+from equivcheck.operators.aggregates import Measure
 
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -161,3 +162,41 @@ def test_predicates_without_brackets(spark):
         got = {r["key"]: r["branch"] for r in tagged(df, predicate).collect()}
         for n, part in enumerate(branches(df, predicate)):
             assert all(got[r["key"]] == n for r in part.collect())
+
+
+def _limb_sums(value, rows):
+    """What the partial step makes of so many rows of one value."""
+    low, mid, top = value & (2**21 - 1), value >> 21 & (2**21 - 1), value >> 42
+    return [low * rows, mid * rows, top * rows]
+
+
+def _carried(sums):
+    mask = 2**21 - 1
+    mid = sums[1] + (sums[0] >> 21)
+    top = sums[2] + (mid >> 21)
+    return [sums[0] & mask, mid & mask, top & mask, top >> 21]
+
+
+@pytest.mark.parametrize("value", [HIGH, LOW, 1, -1, 12_345_678_901_234_567])
+def test_parts_of_more_rows_than_a_limb_sum_holds(spark, value):
+    """Parts of 2^41 rows each, as many as make 2^43 rows and more: merged twice, then put together."""
+    rows, parts = 2**41, 9
+    columns = [f"sum{i}" for i in range(4)]
+    made = _carried(_limb_sums(value, rows))
+    frame = spark.createDataFrame([(*made, rows)] * parts, ", ".join(f"{c} bigint" for c in [*columns, "count"]))
+    for agg in ("sum", "avg"):
+        m = Measure(agg, "v", T.LongType())
+        merged = frame.withColumn("k", F.monotonically_increasing_id() % 2).groupBy("k").agg(*[c.alias(n) for n, c in m.merge().items()])
+        out = merged.agg(*[c.alias(n) for n, c in m.merge().items()]).select(*[c.alias(n) for n, c in m.final().items()])
+        want = value * rows * parts if agg == "sum" else float(value)
+        assert out.first()["v"] == want
+    # The sums of parts cannot be held without carrying.
+    assert abs(_limb_sums(HIGH, rows)[2] * parts) > HIGH
+
+
+def test_carried_sums_stand_for_the_same_number(spark):
+    rows = spark.createDataFrame([(v,) for v in (HIGH, LOW, LOW, -7, 2**42, None)], "v bigint")
+    sums = [F.sum(limb) for limb in limbs(F.col("v"))]
+    got = rows.agg(combine(sums).alias("a"), combine(carried(sums)).alias("b"), *[c.alias(f"s{i}") for i, c in enumerate(carried(sums))]).first()
+    assert got.a == got.b == HIGH + 2 * LOW - 7 + 2**42
+    assert all(0 <= got[f"s{i}"] < 2**21 for i in range(3))

@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from equivcheck.plans import suite
 from equivcheck.plans.compare import compare
 from equivcheck.plans.relations import RELATIONS, Params, origin, other
 from equivcheck.sources import files
-from equivcheck.streaming.bounded import stream_origin, stream_other
+from equivcheck.streaming.bounded import Handle, Stopped, late_rows, stream_origin, stream_other
 
 P = "(real > 0.5)"
 PARAMS = Params("value", 2, 4800, 1600, expr="try_add(ts, key)")
@@ -74,3 +75,58 @@ def test_last_window_is_out(spark, mixed, source):
     streamed = stream_origin(source(), rel, PARAMS)
     total = streamed.agg(F.sum("count")).first()[0]
     assert total == mixed.count()
+
+
+def test_late_rows_count_over_all_triggers(spark, tmp_path):
+    """More triggers than Spark keeps reports of; the late row comes in the third."""
+    path = f"{tmp_path}/in"
+    times = [100_000, 200_000, 5, *range(300_000, 300_000 + 27 * 1000, 1000)]
+    for ts in times:
+        spark.createDataFrame([(ts, 1)], "ts bigint, key bigint").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("ts bigint, key bigint").option("maxFilesPerTrigger", 1)
+    rel, params = RELATIONS["AggCount"], Params(None, None, 1000, None)
+    with pytest.raises(ValueError, match="1 rows came later"):
+        stream_origin(stream.parquet(path), rel, params, delay="1 second", rocksdb=False, partitions=1)
+    whole = stream_origin(stream.parquet(path), rel, params, rocksdb=False, partitions=1)
+    assert whole.agg(F.sum("count")).first()[0] == len(times)
+
+
+class _Reports:
+    """A query that ends after some looks, with the reports that are kept at each of them."""
+
+    def __init__(self, looks):
+        self.looks, self.at = looks, -1
+
+    def awaitTermination(self, timeout):
+        self.at += 1
+        return self.at == len(self.looks) - 1
+
+    @property
+    def recentProgress(self):
+        return [{"batchId": i, "stateOperators": [{"numRowsDroppedByWatermark": n}]} for i, n in self.looks[self.at]]
+
+
+def test_reports_that_are_kept_no_more():
+    looks = [[(0, 0), (1, 0), (2, 4)], [(2, 4), (3, 0), (4, 1)], [(4, 1), (5, 0), (6, 0)]]
+    assert late_rows(_Reports(looks), kept=3) == 5
+    with pytest.raises(ValueError, match="missing"):
+        late_rows(_Reports([looks[0], looks[2]]), kept=3)
+
+
+def test_a_run_is_stopped(spark, source):
+    handle = Handle()
+    handle.stop()
+    with pytest.raises(Stopped):
+        stream_origin(source(), RELATIONS["AggCount"], PARAMS, handle=handle)
+
+
+def test_suite_over_a_stream(spark, mixed, source, tmp_path):
+    config = suite.SuiteConfig(relations=("Filter", "KeyAggCount"), reps=1, others=1, seed=2, time_scale=10)
+    rows = suite.SuiteSource("s", _batch(mixed), {"value": 2}, stream=source())
+    got = suite.run_suite(spark, [rows], config, str(tmp_path)).collect()
+    assert [(r.strategy, r.relation) for r in got] == [("Filter", "Equal"), ("KeyAggCount", "Equal")]
+    assert got[0].left_rows == mixed.count()
+    late = suite.replace(config, timeout_s=0.01)
+    suite.run_suite(spark, [rows], late, str(tmp_path), run_id=1)
+    execs = suite.read_table(spark, suite.run_dir(str(tmp_path), 1), "test_set_execs").collect()
+    assert {r.status for r in execs} <= {"TimedOut", "Skipped"}
