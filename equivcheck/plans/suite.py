@@ -28,7 +28,7 @@ from equivcheck.plans.compare import ATOL, DIFF, EQUAL, ERROR, RTOL, Verdict, co
 from equivcheck.plans.multiset import Digest
 from equivcheck.plans.relations import RELATIONS, Params, origin, other
 from equivcheck.plans.report import FAILED, SKIPPED, SUCCESS, TIMED_OUT
-from equivcheck.session import remove
+from equivcheck.session import exists, remove
 from equivcheck.streaming.bounded import Handle, run_bounded
 
 # Ranges that windows are drawn from, in milliseconds.
@@ -296,10 +296,7 @@ def run_set(
         status, reason = execute(case, sources, config.timeout_s, digests)
         note(case, status, reason)
         if status == SUCCESS:
-            try:
-                verdict = judge(spark, first, case, config, digests)
-            except Exception as error:  # a comparison that fails is a finding as well
-                verdict = Verdict(ERROR, reason=str(error).split("\n")[0])
+            verdict = _verdict(spark, first, case, config, digests)
             head = (case.run_id, case.set_id, case.case_id, case.strategy)
             results.append((*head, *asdict(verdict).values()))
     return execs, results
@@ -324,6 +321,13 @@ def judge(
     )
 
 
+def _verdict(spark: SparkSession, first: Case, case: Case, config: SuiteConfig, digests=None) -> Verdict:
+    try:
+        return judge(spark, first, case, config, digests)
+    except Exception as error:  # a comparison that fails is a finding as well
+        return Verdict(ERROR, reason=str(error).split("\n")[0])
+
+
 def run_suite(
     spark: SparkSession,
     sources: Iterable[SuiteSource],
@@ -362,7 +366,9 @@ def run_cases(
     cases: list[Case],
     config: SuiteConfig,
     target: str,
+    done_before: frozenset[int] = frozenset(),
 ) -> DataFrame:
+    """Run cases set by set; the sets in ``done_before`` have been stored and are left as they are."""
     by_name = {s.name: s for s in sources}
     sets: dict[int, list[Case]] = {}
     for case in cases:
@@ -379,9 +385,12 @@ def run_cases(
         for name, rows in zip(("test_set_execs", "test_set_results"), done[set_id], strict=True):
             store(name, f"set-{set_id}", rows)
 
-    store("test_sets", "all", [tuple(asdict(c).values()) for c in cases])
-    for name in ("test_set_execs", "test_set_results"):
-        store(name, "none", [])
+    if not done_before:
+        store("test_sets", "all", [tuple(asdict(c).values()) for c in cases])
+        for name in ("test_set_execs", "test_set_results"):
+            store(name, "none", [])
+    for set_id in done_before:
+        sets.pop(set_id, None)
 
     if config.parallel_sets > 1:
         # Sets are independent; their jobs share the cluster.
@@ -420,6 +429,52 @@ def load_cases(
     return sorted(cases, key=lambda c: (c.case_id != ORIGIN, c.case_id))
 
 
+def _stored_sets(spark: SparkSession, target: str) -> dict[int, list[Case]]:
+    """All stored cases by set, origins first: as many as the suite was configured to have."""
+    names = [f.name for f in fields(Case)]
+    sets: dict[int, list[Case]] = {}
+    for row in read_table(spark, target, "test_sets").collect():
+        sets.setdefault(row.set_id, []).append(Case(**{n: row[n] for n in names}))
+    return {i: sorted(cases, key=lambda c: (c.case_id != ORIGIN, c.case_id)) for i, cases in sets.items()}
+
+
+def finished_sets(spark: SparkSession, target: str) -> frozenset[int]:
+    """Sets that were run and judged to their end.
+
+    Verdicts are stored after executions, and Spark marks a folder that is written to its end.
+    """
+    marks = [i for i in _stored_sets(spark, target) if exists(spark, f"{target}/test_set_results/set-{i}/_SUCCESS")]
+    return frozenset(marks)
+
+
+def resume(
+    spark: SparkSession, sources: Iterable[SuiteSource], target: str, config: SuiteConfig
+) -> DataFrame:
+    """Go on with an interrupted run: sets without an end are run, the others are kept as stored."""
+    cases = [c for stored in _stored_sets(spark, target).values() for c in stored]
+    done = finished_sets(spark, target)
+    return run_cases(spark, sources, cases, config, target, done)
+
+
+def recheck(spark: SparkSession, target: str, config: SuiteConfig, folder: str) -> DataFrame:
+    """Judge the stored results of a run again, without running a query; verdicts go below ``folder``.
+
+    Cases are those that ended with success, as was their origin.  Verdicts of several settings of the
+    tolerance can thereby lie side by side.
+    """
+    execs = read_table(spark, target, "test_set_execs").where(F.col("status") == SUCCESS)
+    good = {(r.set_id, r.case_id) for r in execs.select("set_id", "case_id").collect()}
+    rows = []
+    for set_id, (first, *rest) in sorted(_stored_sets(spark, target).items()):
+        for case in rest if (set_id, first.case_id) in good else []:
+            if (set_id, case.case_id) in good:
+                head = (case.run_id, case.set_id, case.case_id, case.strategy)
+                rows.append((*head, *asdict(_verdict(spark, first, case, config)).values()))
+    frame = spark.createDataFrame(rows, RESULT_SCHEMA)
+    frame.coalesce(1).write.mode("overwrite").parquet(f"{folder}/test_set_results")
+    return read_table(spark, folder, "test_set_results")
+
+
 def redirect(case: Case, folder: str) -> Case:
     """The same query with another sink."""
     return replace(case, result_path=f"{folder}/set{case.set_id}-{case.case_id}")

@@ -519,6 +519,21 @@ def replay_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(again.result_path)
 
 
+def recheck_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results judged again, one of them changed meanwhile."""
+    base, _, config = _stored_pair(spark, sf_dir)
+    first, second = suite.load_cases(spark, base, 0)
+    again = suite.recheck(spark, base, config, new_dir(spark, "again"))
+    kept = spark.read.parquet(second.result_path).where("key != 7")
+    changed = suite.replace(second, result_path=f"{second.result_path}-changed")
+    kept.write.parquet(changed.result_path)
+    cases = [tuple(asdict(c).values()) for c in (first, changed)]
+    spark.createDataFrame(cases, suite.CASE_SCHEMA).write.mode("overwrite").parquet(f"{base}/test_sets")
+    other_ = suite.recheck(spark, base, config, new_dir(spark, "again"))
+    shown = [again.withColumn("changed", F.lit(False)), other_.withColumn("changed", F.lit(True))]
+    return shown[0].unionByName(shown[1]).select("changed", "set_id", "case_id", "relation", "left_rows", "right_rows", "differing")
+
+
 def extract_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored results that differ within tolerance in all rows and beyond it in some."""
     base, _, config = _stored_pair(spark, sf_dir)
@@ -670,6 +685,7 @@ OPERATORS = [
     report_of_runs,
     suite_verdicts,
     suite_verdicts_stream,
+    recheck_stored,
     stream_many_triggers,
     stream_csv_source,
     replay_pair,

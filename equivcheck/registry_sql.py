@@ -459,5 +459,10 @@ def all_sql() -> dict[str, str]:
             "CASE WHEN name = 'Filter' THEN (SELECT count(*) FROM events) ELSE 0 END AS filtered "
             "FROM (VALUES (0, 'Filter'), (1, 'AggCount'), (2, 'KeyAggAvg')) v(i, name)",
             "replay_pair": keyed,
+            "recheck_stored": f"""
+                WITH k AS ({keyed}), n AS (SELECT count(*) AS n, count(*) FILTER (key <> 7) AS rest FROM k)
+                SELECT FALSE AS changed, 0 AS set_id, 'Other0' AS case_id, 'Equal' AS relation, n AS left_rows,
+                    n AS right_rows, 0::BIGINT AS differing FROM n
+                UNION ALL SELECT TRUE, 0, 'Other0', CASE WHEN n = rest THEN 'Equal' ELSE 'Diff' END, n, rest, n - rest FROM n""",
         }
     )

@@ -40,6 +40,11 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a result that is to be written anew."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

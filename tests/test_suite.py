@@ -168,3 +168,32 @@ def test_variance_over_runs(log):
     got = {r.strategy: r for r in report.rate_variance(*log).collect()}
     assert abs(got["A"].exec_variance - ((1 - 2 / 3) / 2) ** 2) < 1e-12
     assert got["B"].eval_variance is None
+
+
+def test_an_interrupted_run_goes_on(spark, mixed, tmp_path, monkeypatch):
+    """A run that ends in its third set, and the same run without interruption."""
+    config = suite.SuiteConfig(relations=("Filter", "KeyAggSum", "AggCount"), reps=1, others=1, seed=4, time_scale=10)
+    sources = [suite.SuiteSource("s", mixed.select("ts", "key", "value", "real"), {"value": 2})]
+    whole = suite.run_suite(spark, sources, config, f"{tmp_path}/whole").collect()
+    run_set, ran = suite.run_set, []
+
+    def killed(session, cases, *rest):
+        ran.append(cases[0].set_id)
+        if len(ran) == 3:
+            raise KeyboardInterrupt
+        return run_set(session, cases, *rest)
+
+    monkeypatch.setattr(suite, "run_set", killed)
+    with pytest.raises(KeyboardInterrupt):
+        suite.run_suite(spark, sources, config, f"{tmp_path}/cut")
+    target = suite.run_dir(f"{tmp_path}/cut", 0)
+    assert suite.finished_sets(spark, target) == {0, 1}
+    got = suite.resume(spark, sources, target, config).collect()
+    assert ran == [0, 1, 2, 2]
+    assert [tuple(r) for r in got] == [tuple(r) for r in whole]
+    assert suite.finished_sets(spark, target) == {0, 1, 2}
+    suite.resume(spark, sources, target, config)
+    assert ran == [0, 1, 2, 2]
+    # Judged again from what is stored, also with another tolerance.
+    again = suite.recheck(spark, target, suite.replace(config, atol=1e-6), f"{tmp_path}/again").collect()
+    assert [(r.set_id, r.case_id, r.relation, r.left_rows) for r in again] == [(r.set_id, r.case_id, r.relation, r.left_rows) for r in whole]
