@@ -344,3 +344,59 @@ def _without_close(
         }
     )
     return kept.where("nl != nr").select(*columns)
+
+
+def diff_columns(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Which column makes the difference: ``column``, ``left_value``, ``right_value``, ``n``, ``left``, ``right``.
+
+    Of the rows without an equal partner, one of each side belong together if they agree in all columns
+    but one and no other row agrees with them in these.  They are found by the hash of each row without
+    one column, for every column in turn; hashes are counted by side, so nothing is paired off before it
+    is known to be alone.  Rows that belong to none have a null ``column`` and a null ``left`` or ``right``.
+    A row that goes with one row in one column and with another in another is listed with both.  Values are
+    given as text, ``left`` and ``right`` are the rows under the left side's names, ``n`` how many copies the
+    row has more than its partners (of a pair: of the left row).
+    """
+    names = left.columns
+    rows = diff_rows(left, right)
+    rows = rows.select("side", "n", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "uneven")
+    cells = [F.coalesce(F.col(f"c{i}").cast("string"), F.lit("")) for i in range(len(names))]
+    marks = [F.col(f"c{i}").isNull().cast("string") for i in range(len(names))]
+    whole = F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+    def without(i: int) -> Column:
+        # Lengths keep neighbours apart, and NULL from an empty text.
+        parts = [F.concat_ws(":", m, F.length(c), c) for j, (c, m) in enumerate(zip(cells, marks)) if j != i]
+        return F.sha2(F.concat_ws(",", F.lit(i), *parts).cast("binary"), 256)
+
+    value = [F.struct(F.lit(i).alias("at"), without(i).alias("rest"), F.col(f"c{i}").cast("string").alias("v")) for i in range(len(names))]
+    each = rows.select("side", "id", "n", F.inline(F.array(*value)))
+    sides = {}
+    for side in ("left", "right"):
+        own = F.col("side") == side
+        sides |= {
+            f"{side}_rows": F.count_if(own),
+            f"{side}_id": F.max(F.when(own, F.col("id"))),
+            f"{side}_value": F.max(F.when(own, F.col("v"))),
+        }
+    more = F.max(F.when(F.col("side") == "left", F.col("n")))
+    met = each.groupBy("at", "rest").agg(*[c.alias(k) for k, c in sides.items()], more.alias("n"))
+    pairs = written(met.where("left_rows = 1 AND right_rows = 1"), "pairs")
+    listed = F.array(*[F.lit(c) for c in names])
+    shown = rows.select("id", whole.alias("row"))
+    found = (
+        pairs.join(shown.withColumnsRenamed({"id": "left_id", "row": "left"}), "left_id")
+        .join(shown.withColumnsRenamed({"id": "right_id", "row": "right"}), "right_id")
+        .select(listed[F.col("at")].alias("column"), "left_value", "right_value", "n", "left", "right")
+    )
+    used = pairs.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct()
+    alone = rows.join(used, "id", "left_anti").select(
+        F.lit(None).cast("string").alias("column"),
+        F.lit(None).cast("string").alias("left_value"),
+        F.lit(None).cast("string").alias("right_value"),
+        "n",
+        F.when(F.col("side") == "left", whole).alias("left"),
+        F.when(F.col("side") == "right", whole).alias("right"),
+    )
+    return found.unionByName(alone)

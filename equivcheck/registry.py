@@ -22,7 +22,7 @@ from equivcheck.functions.predicates import (
 from equivcheck.operators.aggregates import AGGREGATES, Measure
 from equivcheck.operators.windows import event_millis, millis, tumbling
 from equivcheck.plans import multiset, report, suite
-from equivcheck.plans.compare import compare, diff_rows
+from equivcheck.plans.compare import compare, diff_columns, diff_rows
 from equivcheck.plans.relations import RELATIONS, Params, origin, other
 from equivcheck.session import new_dir
 from equivcheck.sources import catalog, files, generate
@@ -623,6 +623,21 @@ def stream_many_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_other(source, RELATIONS["AggCount"], p, _predicate("events", "AggCount"))
 
 
+def diff_of_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that were changed in one column, and rows that were changed in two."""
+    left = _identified(spark, sf_dir).select("event_id", "key", "value")
+    odd = [F.col("event_id") % n == 0 for n in (50, 70)]
+    right = left.withColumns(
+        {
+            "value": F.when(odd[0], F.col("value") + 1000).otherwise(F.col("value")),
+            "key": F.when(odd[1], F.col("key") + 1_000_000).otherwise(F.col("key")),
+        }
+    )
+    found = diff_columns(left, right).where("column is null or column != 'event_id'")
+    return found.select(F.coalesce("left.event_id", "right.event_id").alias("event_id"), "column", "n",
+                        F.coalesce("left.key", "right.key").alias("key"), F.coalesce("left.value", "right.value").alias("value"))
+
+
 def suite_verdicts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random suite whose cases run as streams, judged like any other."""
     events = replace(_suite_sources(spark, sf_dir)[0], stream=EVENTS.stream(spark, sf_dir))
@@ -676,6 +691,7 @@ OPERATORS = [
     compare_beyond_tolerance,
     compare_types,
     diff_of_results,
+    diff_of_columns,
     extract_diffs,
     suite_summary,
     suite_rollup,

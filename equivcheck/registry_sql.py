@@ -432,6 +432,14 @@ def all_sql() -> dict[str, str]:
             "compare_beyond_tolerance": _ranked(0.002),
             "compare_types": "SELECT CASE WHEN typeof(any_value(value)) <> 'VARCHAR' THEN 'Error' "
             "ELSE 'Equal' END AS relation, count(*) AS left_rows, count(*) AS right_rows FROM events",
+            "diff_of_columns": f"""
+                WITH l AS (SELECT event_id, key, value, event_id % 50 = 0 AS a, event_id % 70 = 0 AS b FROM ({identified})),
+                r AS (SELECT event_id, CASE WHEN b THEN key + 1000000 ELSE key END AS key,
+                    CASE WHEN a THEN value + 1000 ELSE value END AS value FROM l)
+                SELECT event_id, CASE WHEN l.value <> r.value THEN 'value' ELSE 'key' END AS column, 1::BIGINT AS n, l.key, l.value
+                FROM l JOIN r USING (event_id) WHERE (l.value <> r.value) <> (l.key <> r.key)
+                UNION ALL SELECT event_id, NULL, 1, key, value FROM l WHERE a AND b
+                UNION ALL SELECT event_id, NULL, 1, key, value FROM r WHERE event_id % 350 = 0""",
             "diff_of_results": f"""
                 WITH l AS ({counts} GROUP BY ALL), r AS ({rest})
                 SELECT 'left' AS side, 1::BIGINT AS n, * FROM (FROM l EXCEPT ALL FROM r)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from equivcheck.plans import pairing
-from equivcheck.plans.compare import close, compare, diff_rows
+from equivcheck.plans.compare import close, compare, diff_columns, diff_rows
 
 # The golden rows (ts, id, value).
 GOLDEN = [
@@ -305,3 +305,19 @@ def test_diff_rows_sets_copies_off(spark):
     chain = spark.createDataFrame([(1, 0.0), (1, 0.0008), (1, 0.0016)], "k int, v double")
     other = spark.createDataFrame([(1, 0.0004)], "k int, v double")
     assert diff_rows(chain, other, atol=1e-3).count() == 4
+
+
+def test_diff_columns(spark):
+    ddl = "a int, b string, c double, d string"
+    left = [(1, "x", 1.0, "k"), (2, None, 2.0, "k"), (3, "", None, "k"), (4, "y", 4.0, "k"), (5, "z", 5.0, "k"), (5, "z", 5.0, "k"), (9, "same", 0.0, "k")]
+    right = [(1, "x", 1.5, "k"), (2, "", 2.0, "k"), (3, None, 3.0, "k"), (4, "other", 4.5, "k"), (5, "z", 5.0, "m"), (5, "z", 5.0, "m"), (9, "same", 0.0, "k")]
+    got = diff_columns(_values(spark, left, ddl), _values(spark, right, "p int, q string, r double, s string")).collect()
+    pairs = {(r["left"]["a"], r["column"], r["left_value"], r["right_value"], r["n"]) for r in got if r["column"]}
+    assert pairs == {(1, "c", "1.0", "1.5", 1), (2, "b", None, "", 1), (5, "d", "k", "m", 2)}
+    alone = {(side, r[side]["a"]) for r in got if not r["column"] for side in ("left", "right") if r[side]}
+    assert alone == {("left", 3), ("right", 3), ("left", 4), ("right", 4)}
+    # Two rows that agree with each other in the rest: which belongs to which cannot be told.
+    two = _values(spark, [(1, "x", 1.0, "k"), (2, "x", 1.0, "k")], ddl)
+    moved = _values(spark, [(3, "x", 1.0, "k"), (4, "x", 1.0, "k")], ddl)
+    assert {r["column"] for r in diff_columns(two, moved).collect()} == {None}
+    assert diff_columns(two, two).count() == 0
