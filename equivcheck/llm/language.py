@@ -5,9 +5,9 @@ shifted by their place (binding); a document is the sum of its trigrams (bundlin
 the sum of its documents' unit vectors.  A document gets the language with the greatest cosine.
 
 Letters are lower-cased; all else is a space, so trigrams also see where words begin and end.  The
-prototypes are fitted on at most ``max_train`` labelled rows, drawn by the hash of their id from
-all of them; sums are whole numbers, so they do not depend on order.  Only the prototypes
-(languages x ``DIMENSION`` numbers) pass through the driver.  Scoring is row by row.
+prototypes are sums over all labelled rows; they are whole numbers and do not depend on order.  Only
+the prototypes (languages x ``DIMENSION`` numbers) pass through the driver.  Scoring is row by row, and
+memory is bounded by the texts and trigrams that are worked on together, in any script.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from equivcheck.llm.common import binary_text
 DIMENSION = 1024
 LETTERS = 128  # slots; a-z have their own, other letters share the rest by their code
 SEED = 20
-MAX_TRAIN = 20_000
-PIECE = 500_000  # characters worked on together
+PIECE, TEXTS = 500_000, 256  # bytes and texts worked on together
+GRAMS = 4_096  # trigrams bundled at a time
 _UNIT = 1 << 20  # scale of unit vectors when they are summed as whole numbers
 
 
@@ -71,20 +71,26 @@ class Space:
         gram = ((a * LETTERS + b) * LETTERS + c)[good]
         pairs, times = np.unique(row[1:-1][good] * LETTERS**3 + gram, return_counts=True)
         grams, place = np.unique(pairs % LETTERS**3, return_inverse=True)
-        counts = np.zeros((len(texts), len(grams)), np.float32)
-        counts[pairs // LETTERS**3, place] = times
         first, second, third = self.places
-        bound = (
-            first[grams // LETTERS**2] * second[grams // LETTERS % LETTERS] * third[grams % LETTERS]
-        )
-        return counts @ bound.astype(np.float32)
+        out = np.zeros((len(texts), first.shape[1]), np.float32)
+        order = np.argsort(place, kind="stable")
+        row_of, times, place = (pairs // LETTERS**3)[order], times[order], place[order]
+        # So many trigrams at a time: neither their vectors nor their counts grow with the script.
+        for low in range(0, len(grams), GRAMS):
+            some = grams[low : low + GRAMS]
+            a, b = np.searchsorted(place, (low, low + GRAMS))
+            counts = np.zeros((len(texts), len(some)), np.float32)
+            counts[row_of[a:b], place[a:b] - low] = times[a:b]
+            bound = first[some // LETTERS**2] * second[some // LETTERS % LETTERS] * third[some % LETTERS]
+            out += counts @ bound.astype(np.float32)
+        return out
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[str]]:
     piece: list[str] = []
     size = 0
     for text in texts:
-        if piece and size + len(text) > PIECE:
+        if piece and (size + len(text) > PIECE or len(piece) == TEXTS):
             yield piece
             piece, size = [], 0
         piece.append(text.decode("utf-8", "replace"))
@@ -98,16 +104,9 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(length > 0, length, 1)
 
 
-def fit(
-    rows: DataFrame, text: str, lang: str, id_column: str, max_train: int = MAX_TRAIN
-) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from rows with a language."""
-    known = rows.where(F.col(lang).isNotNull())
-    total = known.agg(F.count(F.lit(1))).first()[0]
-    if total > max_train:
-        # About nine tenths of the bound, so that chance does not pass it.
-        share = int(max_train * 0.9 / total * 1_000_000)
-        known = known.where(F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < share)
+def fit(rows: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their prototypes: the sums over all rows with a language."""
+    known = rows.where(F.col(f"`{lang}`").isNotNull())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(), {}
@@ -122,7 +121,7 @@ def fit(
             columns = [pa.array([name] * len(vector)), pa.array(range(len(vector)), pa.int32()), pa.array(vector)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "value"])
 
-    narrow = known.select(binary_text(F.col(text)).alias("text"), F.col(lang).cast("string").alias("lang"))
+    narrow = known.select(binary_text(F.col(f"`{text}`")).alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     sums = narrow.mapInArrow(scan, "lang string, place int, value long")
     found = sums.groupBy("lang", "place").agg(F.sum("value").alias("value"))
     frame = found.toArrow().to_pandas()
@@ -140,15 +139,15 @@ def predict(
     text: str = "text",
     lang: str = "lang",
     keep: tuple[str, ...] = (),
-    max_train: int = MAX_TRAIN,
 ) -> DataFrame:
     """``(id, *keep, lang_pred, score)`` of every row, learnt from the rows where ``learn`` holds.
 
     The score is the cosine, 0 where it is negative.  Equal cosines go to the first language by
     name.  Null texts, texts without letters and all texts when nothing could be learnt are ``und``
-    with score 0.
+    with score 0.  Repeated rows come out as often as they come in, an empty table gives no rows, and
+    columns that are not named have no influence.
     """
-    names, prototypes = fit(docs.where(learn), text, lang, id_column, max_train)
+    names, prototypes = fit(docs.where(learn), text, lang)
     held = prototypes.astype(np.float32)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +169,7 @@ def predict(
             columns = [*batch.columns[:-1], pa.array(out, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_column).alias("id"), *keep, binary_text(F.col(text)).alias("__text"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), *keep, binary_text(F.col(f"`{text}`")).alias("__text"))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
     schema = T.StructType(
         [*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
