@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,14 +13,18 @@ from equivcheck.functions import exact
 
 AGGREGATES = ("min", "max", "sum", "count", "avg")
 
+BIN = "value_bin"
+
 
 @dataclass(frozen=True)
 class Measure:
     """One aggregate over one field.
 
     ``scale`` says that a double field really holds decimals with that many
-    digits; its sums are then exact.  Integers are always summed exactly, other
-    doubles as doubles.
+    digits; its sums are then exact.  Integers are always summed exactly.  Other
+    doubles are ``binned``: ``with_bin`` adds a column to group by as well in the partial
+    and the merging step, and ``collapse`` puts the bins of a group together before the
+    final one.  Their ``direct`` form, in one step, depends on the order of rows.
     """
 
     agg: str
@@ -43,6 +47,13 @@ class Measure:
             return 0
         return self.scale if types.is_float(self.dtype) else None
 
+    @property
+    def binned(self) -> bool:
+        return self.agg in ("sum", "avg") and self._digits is None and types.is_float(self.dtype)
+
+    def with_bin(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(BIN, exact.bin_of(F.col(self.field).cast("double")))
+
     def direct(self) -> dict[str, Column]:
         """The aggregate in one step, under the name of its result."""
         col = F.col(self.field)
@@ -66,6 +77,8 @@ class Measure:
         """First step: what one part of the rows contributes."""
         if self.agg in ("min", "max", "count"):
             return self.direct()
+        if self.binned:
+            return self._binned_parts()
         parts = self._sum_parts()
         if self._digits is not None:
             parts = self._limbs(exact.carried(list(parts.values())))
@@ -80,15 +93,24 @@ class Measure:
         if self.agg == "max":
             return {self.name: F.max(F.col(self.name))}
         sums = {name: F.sum(F.col(name)) for name in self.partial()}
-        if self.agg == "count" or self._digits is None:
+        if self.agg == "count" or (self._digits is None and not self.binned):
             return sums
-        limbs = [c for name, c in sums.items() if name != "count"]
+        limbs = [c for name, c in sums.items() if name not in ("count", "special")]
         return sums | self._limbs(exact.carried(limbs))
 
+    def collapse(self) -> dict[str, Column]:
+        """Step between merging and the result of a binned measure: the bins of a group as one list."""
+        parts = {name: F.sum(name) for name in ("special", "count") if name in self.partial()}
+        limbs = [f"sum{i}" for i in range(exact.LIMBS + 1)]
+        return {"bins": F.array_agg(F.struct(F.col(BIN).alias("bin"), *limbs))} | parts
+
     def final(self) -> dict[str, Column]:
         """Last step: the result from the merged columns."""
         if self.agg in ("min", "max", "count"):
             return {self.name: F.col(self.name)}
+        if self.binned:
+            value = F.coalesce("special", exact.total(F.col("bins")))
+            return {self.name: value if self.agg == "sum" else F.try_divide(value, F.col("count"))}
         sums = [F.col(n) for n in self.partial() if n != "count"]
         if self.agg == "sum":
             return {self.name: self._sum_value(sums)}
@@ -100,6 +122,16 @@ class Measure:
         total = F.try_divide(exact.combine(sums, "double"), count)
         return total / F.lit(float(10**self._digits))
 
+    def _binned_parts(self) -> dict[str, Column]:
+        value = F.col(self.field).cast("double")
+        cut = exact.limbs(exact.within_bin(value, F.col(BIN)))
+        parts = self._limbs(exact.carried([F.sum(limb) for limb in cut]))
+        # NaN and infinities: their plain sum does not depend on order.
+        parts["special"] = F.sum(F.when(F.col(BIN).isNull(), value))
+        if self.agg == "avg":
+            parts["count"] = F.count(value)
+        return parts
+
     def _sum_parts(self) -> dict[str, Column]:
         col = F.col(self.field)
         if self._digits is not None:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equivcheck.operators.aggregates import Measure
+from equivcheck.operators.aggregates import BIN, Measure
 from equivcheck.operators.split import branches, tagged, union_all
 from equivcheck.operators.windows import rewindow, tumbling, with_bounds
 
@@ -88,6 +88,10 @@ def origin(rel: Relation, df: DataFrame, p: Params) -> DataFrame:
     if rel.family == "map":
         return _visible(_mapped(df, p))
     measure, keys = _measure(rel, df, p), _keys(rel, p)
+    if measure.binned:
+        parts = tumbling(measure.with_bin(df), p.window_ms, measure.partial(), [*keys, BIN])
+        whole = rewindow(parts, p.window_ms, measure.collapse(), keys)
+        return with_bounds(whole, keys, measure.final())
     out = tumbling(df, p.window_ms, measure.direct(), keys)
     return with_bounds(out, keys, {measure.name: F.col(measure.name)})
 
@@ -110,15 +114,20 @@ def other(
         return _visible(union_all([_mapped(b, p) for b in branches(df, predicate)]))
 
     measure, keys = _measure(rel, df, p), _keys(rel, p)
+    by = [*keys, BIN] if measure.binned else keys
+    if measure.binned:
+        df = measure.with_bin(df)
     if rel.family == "winpart":
         if p.window_ms % p.inner_ms:
             raise ValueError(f"{p.inner_ms} ms does not divide {p.window_ms} ms")
-        parts = tumbling(df, p.inner_ms, measure.partial(), keys)
+        parts = tumbling(df, p.inner_ms, measure.partial(), by)
     elif mode == "tagged":
-        parts = tumbling(tagged(df, predicate), p.window_ms, measure.partial(), ["branch", *keys])
+        parts = tumbling(tagged(df, predicate), p.window_ms, measure.partial(), ["branch", *by])
     else:
         parts = union_all(
-            [tumbling(b, p.window_ms, measure.partial(), keys) for b in branches(df, predicate)]
+            [tumbling(b, p.window_ms, measure.partial(), by) for b in branches(df, predicate)]
         )
-    merged = rewindow(parts, p.window_ms, measure.merge(), keys)
+    merged = rewindow(parts, p.window_ms, measure.merge(), by)
+    if measure.binned:
+        merged = rewindow(merged, p.window_ms, measure.collapse(), keys)
     return with_bounds(merged, keys, measure.final())

@@ -120,6 +120,29 @@ def _relations(source: TableSource, prefix: str) -> dict:
     return out
 
 
+PLAIN = ("AggSum", "AggAvg", "KeyAggSum", "KeyAggAvg", "WinPartSum", "WinPartAvg")
+
+
+def _plain_doubles() -> dict:
+    """Sums and averages of doubles that are not declared to be decimals, to the last bit."""
+    p = replace(SETTINGS["lineitem"], scale=None)
+    out = {}
+    for name in PLAIN:
+        rel, predicate = RELATIONS[name], _predicate("lineitem", name)
+
+        def left(spark, sf_dir, rel=rel):
+            return origin(rel, LINEITEM.read(spark, sf_dir), p)
+
+        def right(spark, sf_dir, rel=rel, predicate=predicate, mode="union"):
+            return other(rel, LINEITEM.read(spark, sf_dir), p, predicate, mode)
+
+        key = f"plain_{relation_key(name)}"
+        out[f"{key}_origin"], out[f"{key}_other"] = left, right
+        if rel.family != "winpart":
+            out[f"{key}_tagged"] = partial(right, mode="tagged")
+    return out
+
+
 def _nested(divisor: int):
     def run(spark, sf_dir):
         p = SETTINGS["events"]
@@ -594,9 +617,9 @@ def compare_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streaming ------------------------------------------------------------------
 
 
-def _streamed(name: str, side: str):
+def _streamed(name: str, side: str, **changed):
     def run(spark, sf_dir):
-        rel, p = RELATIONS[name], SETTINGS["events"]
+        rel, p = RELATIONS[name], replace(SETTINGS["events"], **changed)
         source = EVENTS.stream(spark, sf_dir)
         if side == "origin":
             return stream_origin(source, rel, p)
@@ -712,8 +735,10 @@ def all_queries() -> dict:
     return (
         _relations(EVENTS, "")
         | _relations(LINEITEM, "lineitem_")
+        | _plain_doubles()
         | {f"winpart_sum_other_by{n}": _nested(n) for n in suite.INNER_DIVISORS}
         | {f.__name__: f for f in OPERATORS}
         | {key: _streamed(*of) for key, of in STREAMED.items()}
+        | {f"stream_plain_keyagg_avg_{side}": _streamed("KeyAggAvg", side, scale=None) for side in ("origin", "other")}
         | {f"avg_bigint_{side}": partial(avg_bigint, side=side) for side in ("origin", "other")}
     )

@@ -9,6 +9,7 @@ from equivcheck.registry import (
     GENERATED_FIELDS,
     GENERATOR_SEED,
     HOUR,
+    PLAIN,
     PRODUCERS,
     SETTINGS,
     STREAMED,
@@ -61,6 +62,22 @@ def _relation(name: str, table: str) -> str:
     return _windowed(table, rel.agg, rel.family == "keyagg", SETTINGS[table].window_ms)
 
 
+# Finer than the last digit of doubles from 0.004 on: in these units they are integers.
+UNIT = 2**60
+
+
+def _plain(name: str, table: str = "lineitem") -> str:
+    p, rel = SETTINGS[table], RELATIONS[name]
+    units = f"sum(({p.field} * {UNIT}::DOUBLE)::HUGEINT)"
+    # A large HUGEINT is not always cast to the nearest double: both halves are short enough to be exact.
+    total = f"(({units} // {2**52})::DOUBLE * {2**52}::DOUBLE + ({units} % {2**52})::DOUBLE) / {UNIT}::DOUBLE"
+    value = total if rel.agg == "sum" else f"{total} / count({p.field})"
+    key = "key, " if rel.family == "keyagg" else ""
+    size = p.window_ms
+    return f"""SELECT (ts // {size}) * {size} AS start, (ts // {size}) * {size} + {size} AS "end", {key}
+        {value} AS "{p.field}" FROM {SOURCE[table]} GROUP BY ALL"""
+
+
 def _relations() -> dict[str, str]:
     out = {}
     for table, prefix in (("events", ""), ("lineitem", "lineitem_")):
@@ -73,6 +90,11 @@ def _relations() -> dict[str, str]:
         out[f"winpart_sum_other_by{n}"] = _relation("WinPartSum", "events")
     for key, (name, _) in STREAMED.items():
         out[key] = _relation(name, "events")
+    for name in PLAIN:
+        for form in ("origin", "other", "tagged")[: 2 if RELATIONS[name].family == "winpart" else 3]:
+            out[f"plain_{relation_key(name)}_{form}"] = _plain(name)
+    for side in ("origin", "other"):
+        out[f"stream_plain_keyagg_avg_{side}"] = _plain("KeyAggAvg", "events")
     return out
 
 

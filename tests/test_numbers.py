@@ -1,6 +1,7 @@
 """Exact sums and safe arithmetic against Python integers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import types as T
 
 from equivcheck.functions import arith
 from equivcheck.functions.exact import carried, combine, exact_sum, limbs, unscaled
-from equivcheck.operators.aggregates import Measure
+from equivcheck.operators.aggregates import BIN, Measure
 
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -46,6 +47,67 @@ def test_unscaled_cents(spark):
     assert got == [round(v * 100) for v in values]
 
 
+TINY, HUGE = 5e-324, 1.7976931348623157e308
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [0.1] * 10,
+        [1e16, 1.0, -1e16],
+        [1e300, 1.0, -1e300, 2.0**-40],
+        [TINY, TINY, -2.2250738585072014e-308],
+        [2.0**k for k in range(-1074, 1024, 7)],
+        [-(2.0**k) for k in (7, 8, 9, 15, 16)] + [math.nextafter(2.0**k, 0) for k in (8, 16, 512, 1016)],
+        [HUGE, -HUGE, 3.5],
+        [HUGE / 4, HUGE / 4, HUGE / 4],
+        [0.0, -0.0],
+        [None, 2.5],
+        [None, None],
+    ],
+)
+def test_sums_of_doubles_are_exact_in_any_split(spark, values):
+    m = Measure("sum", "v", T.DoubleType())
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    present = [v for v in values if v is not None]
+    wanted = math.fsum(present) if present else None
+    for parts in (1, 2, 3):
+        binned = m.with_bin(rows)
+        part = binned.groupBy((F.col("i") % parts).alias("p"), BIN)
+        merged = part.agg(*[c.alias(n) for n, c in m.partial().items()]).groupBy(BIN)
+        whole = merged.agg(*[c.alias(n) for n, c in m.merge().items()])
+        total = whole.agg(*[c.alias(n) for n, c in m.collapse().items()])
+        assert total.select(m.final()["v"]).first()[0] == wanted
+
+
+@pytest.mark.parametrize(
+    "values, wanted",
+    [
+        ([float("inf"), 1.0], float("inf")),
+        ([float("inf"), float("-inf"), 1.0], None),
+        ([float("nan"), None], None),
+        ([HUGE, HUGE], float("inf")),
+    ],
+)
+def test_sums_beyond_all_doubles(spark, values, wanted):
+    m = Measure("sum", "v", T.DoubleType())
+    rows = m.with_bin(spark.createDataFrame([(v,) for v in values], "v double"))
+    parts = rows.groupBy(BIN).agg(*[c.alias(n) for n, c in m.partial().items()])
+    got = parts.agg(*[c.alias(n) for n, c in m.collapse().items()]).select(m.final()["v"]).first()[0]
+    assert got == wanted if wanted is not None else math.isnan(got)
+
+
+def test_random_doubles_agree_with_fsum(spark):
+    draw = random.Random(3)
+    groups = {g: [draw.uniform(-1, 1) * 2.0 ** draw.randint(-60, 60) for _ in range(300)] for g in range(40)}
+    m = Measure("sum", "v", T.DoubleType())
+    rows = m.with_bin(spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, v double"))
+    parts = rows.groupBy("g", BIN).agg(*[c.alias(n) for n, c in m.partial().items()])
+    whole = parts.groupBy("g").agg(*[c.alias(n) for n, c in m.collapse().items()])
+    for g, total in whole.select("g", m.final()["v"]).collect():
+        assert total == math.fsum(groups[g])
+
+
 def _python(op, a, b, low, high):
     if a is None or b is None:
         return None

@@ -14,7 +14,7 @@ from equivcheck.plans.relations import RELATIONS, Params, origin, other
 # One seed per field type; EQUIVCHECK_SEEDS=20 for a thorough run.
 SEEDS = int(os.environ.get("EQUIVCHECK_SEEDS", "8"))
 FIELDS = ["value", "wide", "small", "medium", "normal", "unsigned", "single", "real"]
-EXACT = ("wide", "small", "medium", "normal", "unsigned", "value", None)
+EXACT = (*FIELDS, None)
 
 
 def _params(seed, field):
