@@ -13,7 +13,12 @@ STATUS_COUNTERS = {
     "timeout_count": TIMED_OUT,
     "skipped_count": SKIPPED,
 }
-RELATION_COUNTERS = {"equal_count": "Equal", "reorder_count": "Reordered", "diff_count": "Diff"}
+RELATION_COUNTERS = {
+    "equal_count": "Equal",
+    "reorder_count": "Reordered",
+    "diff_count": "Diff",
+    "error_count": "Error",
+}
 
 
 def _cases(execs: DataFrame, results: DataFrame) -> DataFrame:

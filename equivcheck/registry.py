@@ -347,6 +347,20 @@ def generated_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A random source of the generator, with the types it draws for its fields.
+WRITTEN = generate.random_source("written", GENERATOR_SEED)
+
+
+def generated_source_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random source, as many records as there are events, written by its producers and read back."""
+    records = _identified(spark, sf_dir).count() // PRODUCERS
+    generated = generate.generate_source(spark, WRITTEN, GENERATOR_SEED, PRODUCERS, records)
+    paths = generate.write_producers(generated, f"{new_dir(spark, 'generated')}/written", PRODUCERS)
+    rows = files.read_producers(spark, WRITTEN.schema, paths)
+    wide = [n for n, t in WRITTEN.fields if t == "UINT64"]
+    return rows.withColumns({n: F.col(n).cast("string") for n in wide})
+
+
 # -- comparison -----------------------------------------------------------------
 
 _SHOWN = ("relation", "left_rows", "right_rows", "differing", "tolerant")
@@ -439,7 +453,8 @@ def _order_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             "WHEN o_orderkey % 10 = 0 THEN 'Skipped' ELSE 'Success' END"
         ).alias("status"),
         F.expr(
-            "CASE WHEN o_totalprice >= 400000 THEN 'Diff' WHEN o_orderstatus = 'F' THEN 'Equal' "
+            "CASE WHEN o_totalprice >= 400000 THEN 'Diff' WHEN o_orderkey % 41 = 0 THEN 'Error' "
+            "WHEN o_orderstatus = 'F' THEN 'Equal' "
             "ELSE 'Reordered' END"
         ).alias("relation"),
     )
@@ -700,6 +715,7 @@ OPERATORS = [
     generated_times,
     generated_stream,
     generated_stream_stats,
+    generated_source_written,
     compare_equal,
     compare_reordered,
     compare_ordered_equal,

@@ -13,6 +13,7 @@ from equivcheck.registry import (
     PRODUCERS,
     SETTINGS,
     STREAMED,
+    WRITTEN,
     relation_key,
 )
 from equivcheck.sources import generate
@@ -176,10 +177,10 @@ def _hash_once(value: int, seed: int) -> int:
     return h ^ h >> 32
 
 
-def _hashed(rows: str, names: list[str], position: str, tag: str) -> str:
+def _hashed(rows: str, names: list[str], position: str, tag: str, seed: int = GENERATOR_SEED) -> str:
     """CTEs ending in ``{tag}``: hashes of named columns at (producer, position) of ``rows``."""
     seeds = ", ".join(
-        f"('{n}', {_u(_hash_once(generate.column_seed(GENERATOR_SEED, n), 42))})" for n in names
+        f"('{n}', {_u(_hash_once(generate.column_seed(seed, n), 42))})" for n in names
     )
     ctes = [
         f"{tag}_0 AS (SELECT r.*, s.name, s.h, {_u(0)} AS x "
@@ -206,15 +207,15 @@ _PRODUCED = f"""
         FROM events GROUP BY 1)"""
 
 
-def _generated_times() -> str:
+def _generated_times(seed: int = GENERATOR_SEED, produced: str = _PRODUCED) -> str:
     gaps = [f"gap{j}" for j in range(generate.BURST_ROWS)]
     low, high = generate.BURST_GAP_MS
     elapsed = ", ".join(
         " + ".join(_within(_of(g), low, high) for g in gaps[: j + 1]) for j in range(len(gaps))
     )
-    return f"""WITH {_PRODUCED},
+    return f"""WITH {produced},
     cycles AS (SELECT producer, records, unnest(range((records + 1) // 2)) AS cycle FROM produced),
-    {_hashed("cycles", ["burst", "quiet", *gaps], "cycle", "noise")},
+    {_hashed("cycles", ["burst", "quiet", *gaps], "cycle", "noise", seed)},
     drawn AS (SELECT producer, records, cycle,
         {_within(_of("burst"), 1, generate.BURST_ROWS + 1)} AS burst,
         {_within(_of("quiet"), *generate.QUIET_GAP_MS)} AS quiet,
@@ -247,24 +248,34 @@ def _full_range(name: str, type_name: str) -> str:
     return f"({value} // {2 ** (64 - width)} - {less})::{held}"
 
 
-def _generated_stream() -> str:
-    names = ["key", *[n for n, _ in GENERATED_FIELDS]]
-    columns = ",\n".join(f"{_full_range(n, t)} AS {n}" for n, t in GENERATED_FIELDS)
-    return f"""WITH {_PRODUCED},
+def _generated_stream(seed: int = GENERATOR_SEED, produced: str = _PRODUCED, fields=GENERATED_FIELDS) -> str:
+    names = ["key", *[n for n, _ in fields]]
+    columns = ",\n".join(f"{_full_range(n, t)} AS {n}" for n, t in fields)
+    return f"""WITH {produced},
     listed AS (SELECT producer, unnest(range(records)) AS row FROM produced),
-    {_hashed("listed", names, "row", "noise")}
+    {_hashed("listed", names, "row", "noise", seed)}
     SELECT producer, row, {_within(_of("key"), 0, generate.KEYS)} AS key, {columns},
         row + 1000 AS n
     FROM noise GROUP BY producer, row"""
 
 
+def _generated_source_written() -> str:
+    seed = generate.column_seed(GENERATOR_SEED, WRITTEN.name)
+    produced = f"""produced AS (SELECT p AS producer, (SELECT count(*) // {PRODUCERS} FROM events) AS records
+        FROM range({PRODUCERS}) r(p))"""
+    fields = [f for f in WRITTEN.fields if f[0] not in ("ts", "key")]
+    columns = ", ".join(["ts", "key", *[n for n, _ in fields]])
+    return f"""SELECT {columns} FROM ({_generated_times(seed, produced)}) t
+        JOIN ({_generated_stream(seed, produced, fields)}) s USING (producer, row)"""
+
+
 # -- reports ----------------------------------------------------------------------
 
 _LOG = """
     log AS (SELECT CAST(o_custkey % 3 AS INTEGER) AS run_id, o_orderpriority AS strategy,
         CASE WHEN o_totalprice < 50000 THEN 'TimedOut' WHEN o_orderstatus = 'P' THEN 'Failed'
             WHEN o_orderkey % 10 = 0 THEN 'Skipped' ELSE 'Success' END AS status,
-        CASE WHEN o_totalprice >= 400000 THEN 'Diff' WHEN o_orderstatus = 'F' THEN 'Equal'
+        CASE WHEN o_totalprice >= 400000 THEN 'Diff' WHEN o_orderkey % 41 = 0 THEN 'Error' WHEN o_orderstatus = 'F' THEN 'Equal'
             ELSE 'Reordered' END AS relation FROM orders)"""
 
 
@@ -280,6 +291,7 @@ def _summary(grouping: str) -> str:
         "equal_count": f"count(*) FILTER ({done} AND relation = 'Equal')",
         "reorder_count": f"count(*) FILTER ({done} AND relation = 'Reordered')",
         "diff_count": f"count(*) FILTER ({done} AND relation = 'Diff')",
+        "error_count": f"count(*) FILTER ({done} AND relation = 'Error')",
     }
     listed = ", ".join(f"{sql} AS {name}" for name, sql in counters.items())
     return f"""WITH {_LOG}, counted AS (
@@ -366,6 +378,7 @@ def all_sql() -> dict[str, str]:
         | _operators()
         | {
             "predicate_profile": _profile(),
+            "generated_source_written": _generated_source_written(),
             "predicate_pool": "SELECT i::INTEGER AS predicate_id, (SELECT count(*) FROM lineitem) "
             "AS covered FROM range(20) p(i)",
             "project_rename": f"SELECT key AS supplier, l_quantity, ts AS shipped FROM {LINEITEM}",
@@ -478,7 +491,7 @@ def all_sql() -> dict[str, str]:
             "report_of_runs": "SELECT r::INTEGER AS run_id, s AS strategy, 3::BIGINT AS total_count, "
             "3::BIGINT AS success_count, 0::BIGINT AS fail_count, 0::BIGINT AS timeout_count, "
             "0::BIGINT AS skipped_count, 2::BIGINT AS total_res_count, 2::BIGINT AS equal_count, "
-            "0::BIGINT AS reorder_count, 0::BIGINT AS diff_count, 1::DOUBLE AS exec_success_rate, "
+            "0::BIGINT AS reorder_count, 0::BIGINT AS diff_count, 0::BIGINT AS error_count, 1::DOUBLE AS exec_success_rate, "
             "1::DOUBLE AS eval_success_rate FROM range(2) a(r), (VALUES ('Filter'), ('KeyAggSum')) b(s)",
             **{f"avg_bigint_{side}": _avg_bigint() for side in ("origin", "other")},
             "suite_verdicts": "SELECT i::INTEGER AS set_id, 'Other0' AS case_id, name AS strategy, "
