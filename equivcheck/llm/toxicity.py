@@ -5,19 +5,24 @@ its whole, its first six and its first three bytes, as far as the sample knows t
 row tells words apart that share a row, so unknown words have no vector.
 Filters of several widths slide over the whole text, each keeps its greatest value, and a logistic
 layer weighs them.  Trained by AdaGrad on a bounded sample of labelled rows: at most ``MAX_TOXIC``
-toxic and ``MAX_CLEAN`` other rows, drawn by the hash of their id from all that may be learnt
-from, of texts of at most ``MAX_CHARS`` characters.  Every third row of the sample is not trained
-on: thresholds are set there, as trained rows look surer than they are.
-
-Thresholds are calibrated by language: each language of the sample gets the cut with the fewest
-weighted errors, and scores are shifted so that 0.5 is that cut.  At scoring time the language is
-worked out from the words of the text alone (naive Bayes over the same hashes).
-
-Scoring is row by row over whole texts; the model (some 30 MB, of fixed size) is broadcast.
+toxic and ``MAX_CLEAN`` other rows and about ``MAX_BYTES`` of text, drawn by the hash of their id from
+all that may be learnt from, of texts of at most ``MAX_CHARS`` characters.
+
+Thresholds are calibrated by language on all rows that may be learnt from, whole texts of any length.
+Rows of the sample are scored by models that were trained without them (``FOLDS`` parts), the others by
+the model itself, in Spark; what is collected are counts by language, score bin and label.  A language
+gets the cut with the fewest errors among its own rows and those of all languages, the latter scaled to
+``PRIOR`` toxic rows: few rows stay near the common cut, many decide for themselves.  Scores are
+shifted so that 0.5 is that cut.  The language is worked out from the words of the text alone (naive
+Bayes over the same hashes); the ``LANGUAGES`` most frequent of the sample are told apart, texts in
+others are calibrated with the language they look most like.
+
+Scoring is row by row over whole texts; the model (some 50 MB at most) is broadcast.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +35,9 @@ from pyspark.sql import types as T
 from equivcheck.llm.common import binary_text
 from equivcheck.llm.decontaminate import _CLASS, hash_words
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2_000, 4_000, 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS, MAX_BYTES = 2_000, 4_000, 20_000, 24_000_000
+FOLDS, PRIOR, LANGUAGES = 3, 20, 64
+STEPS, LIMIT = 16, 30  # score bins per unit of the logit, and where it is cut off
 BITS, SIZE = 18, 8  # hashed rows of each table, numbers per vector
 PARTS = (0, 6, 3)  # bytes of a word that a table looks at; 0: all
 WIDTHS, FILTERS = (1, 2, 3), 8
@@ -107,10 +114,14 @@ class Model:
         shares[ids[0] == 0] = 0
         return np.add.reduceat(shares, first[:-1], axis=0).argmax(axis=1)
 
-    def scores(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def judged(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language and logit of each text."""
         ids = self.known(hashes)
-        cuts = np.array(self.cuts)[self.groups(ids, first)]
-        return 1 / (1 + np.exp(-np.clip(self.logits(ids, first) - cuts, -30, 30)))
+        return self.groups(ids, first), self.logits(ids, first)
+
+    def scores(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        groups, logits = self.judged(hashes, first)
+        return 1 / (1 + np.exp(-np.clip(logits - np.array(self.cuts)[groups], -30, 30)))
 
 
 def _begin(hashes: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Model:
@@ -204,42 +215,81 @@ def train(hashes: np.ndarray, first: np.ndarray, labels: np.ndarray, weights: np
     return model
 
 
-def calibrate(model: Model, hashes, first, labels, weights, langs: list) -> None:
-    """Language shares of hashed words, and for each language the cut with the fewest errors."""
-    ids = model.known(hashes)
-    names = sorted({x for x in langs if x is not None}) or [""]
-    number = np.array([names.index(x) if x is not None else -1 for x in langs])
-    text = np.repeat(np.arange(len(labels)), np.diff(first))
+def learn_languages(model: Model, hashes: np.ndarray, first: np.ndarray, langs: list) -> None:
+    """Log shares of the hashed words of each language."""
+    seen = Counter(x for x in langs if x is not None)
+    names = sorted(sorted(seen, key=lambda x: (-seen[x], x))[:LANGUAGES]) or [""]
+    place = {x: i for i, x in enumerate(names)}
+    number = np.array([place.get(x, -1) for x in langs])
+    ids = model.known(hashes)[0]
+    text = np.repeat(np.arange(len(langs)), np.diff(first))
     shares = np.full((1 << LANGUAGE_BITS, len(names)), 0.1)
-    good = (ids[0] > 0) & (number[text] >= 0)
-    np.add.at(shares, (ids[0][good] & ((1 << LANGUAGE_BITS) - 1), number[text][good]), 1)
+    good = (ids > 0) & (number[text] >= 0)
+    np.add.at(shares, (ids[good] & ((1 << LANGUAGE_BITS) - 1), number[text][good]), 1)
     model.languages = np.log(shares / shares.sum(axis=0)).astype(np.float32)
-    logits = np.concatenate(
-        [model.logits(*_batch(ids, first, np.arange(a, min(a + 256, len(labels))))) for a in range(0, len(labels), 256)]
-    )
-    group = np.concatenate(
-        [model.groups(*_batch(ids, first, np.arange(a, min(a + 256, len(labels))))) for a in range(0, len(labels), 256)]
-    )
 
-    def cut(mask: np.ndarray) -> float:
-        x, y, w = logits[mask], labels[mask], weights[mask]
-        order = np.argsort(x, kind="stable")
-        x, y, w = x[order], y[order], w[order]
-        # Cutting before place i: toxic rows below are missed, others from i on are false alarms.
-        missed = np.concatenate([[0], np.cumsum(w * y)])
-        alarms = np.concatenate([[0], np.cumsum(w * (1 - y))])
-        errors = missed + alarms[-1] - alarms
-        least = np.flatnonzero(errors <= errors.min() + 1e-9)
-        i = int(least[len(least) // 2])
-        edge = np.concatenate([[x[0] - 1], x, [x[-1] + 1]])
-        return float((edge[i] + edge[i + 1]) / 2)
-
-    everyone = cut(np.ones(len(labels), bool))
-    model.cuts = []
-    for g in range(len(names)):
-        mask = group == g
-        enough = labels[mask].sum() >= 20 and (1 - labels[mask]).sum() >= 20
-        model.cuts.append(cut(mask) if enough else everyone)
+
+def score_bin(logits: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(logits, -LIMIT, LIMIT) + LIMIT) * STEPS).astype(np.int64)
+
+
+def cuts_of(counts: np.ndarray) -> list[float]:
+    """A cut per language from ``counts`` by language, score bin and label."""
+    common = counts.sum(axis=0)
+    counts = counts + common * (PRIOR / max(1, common[:, 1].sum()))
+    none = np.zeros((len(counts), 1))
+    # Cutting in front of a bin: toxic rows below it are missed, others from it on are false alarms.
+    missed = np.concatenate([none, counts[:, :, 1].cumsum(axis=1)], axis=1)
+    alarms = np.concatenate([none, counts[:, :, 0].cumsum(axis=1)], axis=1)
+    errors = missed + alarms[:, -1:] - alarms
+    cuts = []
+    for row in errors:
+        least = np.flatnonzero(row <= row.min() + 1e-9)
+        cuts.append(float(least[len(least) // 2] / STEPS - LIMIT))
+    return cuts
+
+
+def _apart(hashes: np.ndarray, first: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Logits of the sample's rows, each by a model that was trained without it.
+
+    Each kind must have a row for every part.
+    """
+    fold = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % FOLDS
+    out = np.empty(len(y))
+    for f in range(FOLDS):
+        rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        trained = train(*_batch(hashes, first, rest), y[rest], weights[rest])
+        for a in range(0, len(own), 256):
+            part, begin = _batch(hashes, first, own[a : a + 256])
+            out[own[a : a + 256]] = trained.logits(trained.known(part), begin)
+    return out
+
+
+def _counts(rows: DataFrame, model: Model, shared) -> np.ndarray:
+    """Rows ``text, y`` counted by language, score bin and label."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = np.asarray(batch.column(1).to_pylist(), np.int64)
+            at = 0
+            for piece in _pieces(batch.column(0).to_pylist()):
+                groups, logits = shared.value.judged(*word_hashes(piece))
+                keys = np.stack([groups, score_bin(logits), y[at : at + len(piece)]], axis=1)
+                found, n = np.unique(keys, axis=0, return_counts=True)
+                at += len(piece)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in (*found.T, n)], ["g", "b", "y", "n"]
+                )
+
+    found = rows.mapInArrow(scan, "g bigint, b bigint, y bigint, n bigint").groupBy("g", "b", "y").agg(F.sum("n").alias("n"))
+    counts = np.zeros((model.languages.shape[1], 2 * LIMIT * STEPS + 1, 2))
+    for r in found.collect():  # at most languages x bins x 2
+        counts[r.g, r.b, r.y] = r.n
+    return counts
+
+
+def _named(df: DataFrame, name: str) -> Column:
+    return df["`" + name.replace("`", "``") + "`"]
 
 
 def fit(
@@ -249,42 +299,55 @@ def fit(
     id_column: str = "doc_id",
     max_toxic: int = MAX_TOXIC,
     max_clean: int = MAX_CLEAN,
+    text: str = "text",
+    lang: str = "lang",
 ) -> Model | None:
-    """The model, or nothing if the labels do not hold both kinds."""
-    marked = labels.where(learn & F.col("toxic").isin(0, 1)).select(id_column, F.col("toxic").cast("int"))
+    """The model, or nothing if the labels do not hold both kinds.
+
+    ``docs`` may lack the column ``lang``: all texts are one language then.
+    """
+    marked = labels.where(learn & F.col("toxic").isin(0, 1)).select(_named(labels, id_column).alias("id"), F.col("toxic").cast("int").alias("y"))
     # An id with labels of both kinds says nothing.
-    marked = marked.groupBy(id_column).agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).where("y = z")
-    rows = docs.where(F.length(F.coalesce("text", F.lit(""))) <= MAX_CHARS)
-    joined = rows.join(marked.select(id_column, "y"), id_column)
-    ids = joined.select(id_column, "y", F.xxhash64(id_column).alias("h"))
-    totals = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not totals.get(0) or not totals.get(1):
+    marked = marked.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
+    known = lang in docs.columns
+    rows = docs.select(
+        _named(docs, id_column).alias("id"),
+        _named(docs, text).alias("whole"),
+        (_named(docs, lang) if known else F.lit(None)).cast("string").alias("lang"),
+    ).select("*", (F.length(F.coalesce("whole", F.lit(""))) <= MAX_CHARS).alias("short"))
+    joined = rows.join(marked, "id")
+    sizes = joined.where("short").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.coalesce("whole", F.lit("")))).alias("size"))
+    totals = {r["y"]: (r["n"], r["size"]) for r in sizes.collect()}
+    if len(totals) < 2:
         return None
-    parts, drawn = [], {}
+    drawn = F.lit(False)
     for y, most in ((1, max_toxic), (0, max_clean)):
-        share = min(1_000_000, int(most * 0.9 / totals[y] * 1_000_000) + 1)
-        share = 1_000_000 if totals[y] <= most else share
-        mine = F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < share
-        parts.append(joined.where((F.col("y") == y) & mine))
-    sample = parts[0].unionByName(parts[1])
-    got = sample.select(id_column, "y", F.col("lang").cast("string").alias("lang"), binary_text(F.col("text")).alias("text"))
-    table = got.toArrow().sort_by([(id_column, "ascending"), ("text", "ascending")]).to_pydict()
+        n, size = totals[y]
+        room = MAX_BYTES * most / (max_toxic + max_clean)
+        share = 1_000_000 if n <= most and size <= room else int(min(most / n, room / size, 1) * 900_000) + 1
+        drawn = drawn | ((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share))
+    drawn = drawn & F.col("short")
+    got = joined.where(drawn).select("id", "y", "lang", binary_text(F.col("whole")).alias("whole"))
+    table = got.toArrow().sort_by([("id", "ascending"), ("whole", "ascending")]).to_pydict()
     y = np.array(table["y"], np.int64)
-    drawn = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    if not (y == 0).any() or not (y == 1).any():
+    kinds = {k: int((y == k).sum()) for k in (0, 1)}
+    if not kinds[0] or not kinds[1]:
         return None
-    ids_of, first = word_hashes(table["text"])
+    hashes, first = word_hashes(table["whole"])
     # Training sees both kinds alike; calibration sees them as often as they come.
-    alike = np.where(y == 1, len(y) / drawn[1], len(y) / drawn[0]).astype(np.float32)
-    natural = np.where(y == 1, totals[1] / drawn[1], totals[0] / drawn[0])
-    # Rows are in order of their ids: both parts hold both kinds, or all rows serve for both.
-    rank = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
-    kept, trained = np.flatnonzero(rank % 3 == 0), np.flatnonzero(rank % 3 > 0)
-    if min(drawn.values()) < 30:
-        kept = trained = np.arange(len(y))
-    model = train(*_batch(ids_of, first, trained), y[trained], alike[trained])
-    langs = [table["lang"][i] for i in kept]
-    calibrate(model, *_batch(ids_of, first, kept), y[kept], natural[kept], langs)
+    alike = np.where(y == 1, len(y) / kinds[1], len(y) / kinds[0]).astype(np.float32)
+    apart = _apart(hashes, first, y, alike) if min(kinds.values()) >= FOLDS else None
+    model = train(hashes, first, y, alike)
+    learn_languages(model, hashes, first, table["lang"])
+    pieces = [_batch(hashes, first, np.arange(a, min(a + 256, len(y)))) for a in range(0, len(y), 256)]
+    judged = [model.judged(*piece) for piece in pieces]
+    groups = np.concatenate([g for g, _ in judged])
+    logits = np.concatenate([x for _, x in judged]) if apart is None else apart
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    counts = _counts(joined.where(~drawn).select(binary_text(F.col("whole")), "y"), model, shared)
+    shared.destroy()
+    np.add.at(counts, (groups, score_bin(logits), y), 1)
+    model.cuts = cuts_of(counts)
     return model
 
 
@@ -310,13 +373,16 @@ def score(
     keep: tuple[str, ...] = (),
     max_toxic: int = MAX_TOXIC,
     max_clean: int = MAX_CLEAN,
+    lang: str = "lang",
 ) -> DataFrame:
     """``(id, *keep, score, predicted)`` of every row; ``learn`` says which labels may be used.
 
+    ``docs`` may have further columns of any name, and none ``lang``.
+
     Null and empty texts get the score of a text without words.  Rows repeat as they come in.
     Without labels of both kinds every score is 0.
     """
-    model = fit(docs, labels, learn, id_column, max_toxic, max_clean)
+    model = fit(docs, labels, learn, id_column, max_toxic, max_clean, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +394,9 @@ def score(
             columns = [*batch.columns[:-1], pa.array(out, pa.float64()), said]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score", "predicted"])
 
-    rows = docs.select(F.col(id_column).alias("id"), *keep, binary_text(F.col(text)).alias("__text"))
-    fields = [f for f in rows.schema.fields if f.name != "__text"]
+    kept = [_named(docs, name) for name in keep]
+    rows = docs.select(_named(docs, id_column).alias("id"), *kept, binary_text(_named(docs, text)).alias("whole text"))
+    fields = rows.schema.fields[:-1]
     schema = T.StructType(
         [*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     )
