@@ -28,7 +28,8 @@ from equivcheck.operators.scan import running
 from equivcheck.session import written
 
 BLOCK = 1_024  # turns per block of a running maximum or count
-_QUOTE = r"^(?:[ \t]{0,3}>){1,64}"
+# Marks stand in a run of marks and blanks, each less than four blanks behind the one before.
+_RUN, _FAR, _QUOTE = r"^[ \t>]*", r"[ \t]{4}", r"^[ \t>]*>"
 # How mail programs introduce a quote.
 _INTRODUCTION = r"(?i)^.{0,200}(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
@@ -42,7 +43,8 @@ def _lines(text: Column) -> Column:
     clean = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002\r", "")
 
     def line(x: Column) -> Column:
-        marks = F.regexp_extract(x, _QUOTE, 0)
+        near = F.split(F.regexp_extract(x, _RUN, 0), _FAR, 2)[0]
+        marks = F.regexp_extract(near, _QUOTE, 0)
         level = F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
         body = F.substring(x, F.length(marks) + 1, F.length(x))
         return F.struct(level.alias("level"), body.alias("body"), (F.trim(body) == "").alias("blank"))
