@@ -12,11 +12,10 @@ import hashlib
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equivcheck.operators.scan import running
 from equivcheck.session import shuffle_partitions
 from equivcheck.sources.catalog import LogicalSource
 from equivcheck.types import DECLARED, is_float
@@ -35,7 +34,7 @@ FIELD_TYPES = [
     "UINT8", "INT8", "UINT16", "INT16", "UINT32", "INT32", "UINT64", "INT64", "FLOAT32", "FLOAT64",
 ]
 
-CYCLES_PER_BLOCK = 65_536
+CYCLES_PER_BLOCK = 8_192
 
 
 def column_seed(seed: int, name: str) -> int:
@@ -79,64 +78,80 @@ def sequence(start: int, row: Column) -> Column:
     return F.lit(start).cast("bigint") + row
 
 
+def _cycles(blocks: DataFrame, *carried: str) -> DataFrame:
+    """The cycles of each block, with the columns to be carried along."""
+    first = F.col("block") * F.lit(CYCLES_PER_BLOCK).cast("bigint")
+    last = F.least(first + F.lit(CYCLES_PER_BLOCK - 1), F.floor((F.col("records") - 1) / F.lit(2)))
+    return blocks.select(
+        "producer", "records", "block", *carried, F.explode(F.sequence(first, last)).alias("cycle")
+    )
+
+
+def _burst(seed: int) -> Column:
+    return uniform(noise(seed, "burst", F.col("producer"), F.col("cycle")), 1, BURST_ROWS + 1)
+
+
+def _timed(cycles: DataFrame, seed: int) -> DataFrame:
+    """Add ``burst``, ``size`` in rows, ``length`` in ms and ``elapsed``, the time from start to each row."""
+    where = (F.col("producer"), F.col("cycle"))
+    gaps = [uniform(noise(seed, f"gap{j}", *where), *BURST_GAP_MS).alias(f"gap{j}") for j in range(BURST_ROWS)]
+    quiet = uniform(noise(seed, "quiet", *where), *QUIET_GAP_MS)
+    drawn = cycles.select("*", *gaps, _burst(seed).alias("burst"), quiet.alias("quiet"))
+    elapsed = [F.col("gap0")]
+    for j in range(1, BURST_ROWS):
+        elapsed.append(elapsed[-1] + F.col(f"gap{j}"))
+    whole = F.element_at(F.array(*elapsed), F.col("burst").cast("int"))
+    return drawn.select(
+        *cycles.columns,
+        "burst",
+        (F.col("burst") + F.lit(1)).alias("size"),
+        (whole + F.col("quiet")).alias("length"),
+        F.array(*elapsed).alias("elapsed"),
+    )
+
+
 def bursty_rows(producers: DataFrame, seed: int, start_ms: int = START_MS) -> DataFrame:
     """Rows ``producer, row, ts`` for a frame ``producer, records`` (both bigint).
 
     A cycle is a burst of 1 to 5 rows with short gaps and one row after a long
     gap.  Every producer starts at ``start_ms`` and has its own clock.
     """
-    spark = producers.sparkSession
-    # At least two rows per cycle bounds the cycles needed.  Only the small list
-    # of blocks is shuffled; cycles are expanded where their block lies.
-    blocks = producers.select(
+    partitions = shuffle_partitions(producers.sparkSession)
+    # At least two rows per cycle bounds the cycles needed, about twice as many as there are.  The sizes
+    # of the bursts alone tell which blocks are: only those are expanded.  Only lists of blocks are
+    # shuffled; cycles are expanded where their block lies.
+    upto = F.floor((F.col("records") - 1) / F.lit(2 * CYCLES_PER_BLOCK))
+    blocks = producers.where("records > 0").select(
         "producer",
         "records",
-        F.explode(
-            F.sequence(
-                F.lit(0).cast("bigint"),
-                F.floor((F.col("records") - 1) / F.lit(2 * CYCLES_PER_BLOCK)),
-            )
-        ).alias("block"),
-    ).where("records > 0")
-    placed = blocks.repartition(shuffle_partitions(spark), "producer", "block")
-    first = F.col("block") * F.lit(CYCLES_PER_BLOCK).cast("bigint")
-    last = F.least(
-        first + F.lit(CYCLES_PER_BLOCK - 1), F.floor((F.col("records") - 1) / F.lit(2))
-    )
-    cycles = placed.select(
-        "producer", "records", "block", F.explode(F.sequence(first, last)).alias("cycle")
+        F.explode(F.sequence(F.lit(0).cast("bigint"), upto)).alias("block"),
     )
-
-    where = (F.col("producer"), F.col("cycle"))
-    burst = uniform(noise(seed, "burst", *where), 1, BURST_ROWS + 1)
-    # elapsed[j] is the time from the start of the cycle to its row j
-    elapsed = []
-    for j in range(BURST_ROWS):
-        gap = uniform(noise(seed, f"gap{j}", *where), *BURST_GAP_MS)
-        elapsed.append(elapsed[-1] + F.col(f"gap{j}") if j else F.col("gap0"))
-        cycles = cycles.withColumn(f"gap{j}", gap)
-    quiet = uniform(noise(seed, "quiet", *where), *QUIET_GAP_MS)
-    cycles = cycles.select(
-        "producer",
-        "records",
-        "block",
-        "cycle",
-        burst.alias("burst"),
-        quiet.alias("quiet"),
-        F.array(*elapsed).alias("elapsed"),
+    of_block = ["producer", "records", "block"]
+    before = Window.partitionBy("producer").orderBy("block")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+
+    def placed(listed: DataFrame) -> DataFrame:
+        return listed.repartition(partitions, "producer", "block")
+
+    def carried(name: str) -> Column:
+        return F.coalesce(F.sum(f"block_{name}").over(before), F.lit(0)).alias(f"{name}_before")
+
+    size = _burst(seed) + F.lit(1)
+    sizes = _cycles(placed(blocks)).groupBy(*of_block).agg(F.sum(size).alias("block_rows"))
+    needed = sizes.select(*of_block, carried("rows")).where("rows_before < records")
+    lengths = (
+        _timed(_cycles(placed(needed), "rows_before"), seed)
+        .groupBy(*of_block, "rows_before")
+        .agg(F.sum("length").alias("block_time"))
     )
-    cycles = cycles.select(
+    starts = lengths.select(*of_block, "rows_before", carried("time"))
+    cycles = _timed(_cycles(placed(starts), "rows_before", "time_before"), seed)
+    along = Window.partitionBy("producer", "block").orderBy("cycle")
+    along = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = cycles.select(
         "*",
-        (F.col("burst") + F.lit(1)).alias("size"),
-        (F.element_at("elapsed", F.col("burst").cast("int")) + F.col("quiet")).alias("length"),
-    )
-
-    ended = running(
-        cycles,
-        ["producer"],
-        ["cycle"],
-        {"rows_upto": ("sum", "size"), "time_upto": ("sum", "length")},
-        block="block",
+        (F.col("rows_before") + F.sum("size").over(along)).alias("rows_upto"),
+        (F.col("time_before") + F.sum("length").over(along)).alias("time_upto"),
     )
     offsets = F.concat(
         F.slice("elapsed", F.lit(1), F.col("burst").cast("int")), F.array("length")
