@@ -83,6 +83,7 @@ PROFILED = [
 ]
 
 PRODUCERS = 5
+CLOCKS_APART_MS, CLOCK_FILES = 9 * 3_600_000, 4
 
 
 def _predicate(table: str, name: str) -> str:
@@ -661,6 +662,26 @@ def stream_many_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_other(source, RELATIONS["AggCount"], p, _predicate("events", "AggCount"))
 
 
+def stream_producer_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed counts of five producers with a watermark each: windows close while input arrives.
+
+    The producers' clocks are nine hours apart each.  Each writes its files in its order of time, so no
+    delay is needed beyond its own.
+    """
+    path = new_dir(spark, "clocks")
+    rows = _identified(spark, sf_dir).withColumn("producer", F.col("event_id") % PRODUCERS)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    low = first or 0
+    step = ((last or 0) - low) // CLOCK_FILES + 1
+    for k in range(CLOCK_FILES):
+        now = rows.where(F.col("ts").between(low + k * step, low + (k + 1) * step - 1))
+        told = now.withColumn("ts", F.col("ts") + F.col("producer") * F.lit(CLOCKS_APART_MS))
+        told.repartition(PRODUCERS, "producer").write.mode("append").partitionBy("producer").option("header", True).csv(path)
+    paths = [f"{path}/producer={i}" for i in range(PRODUCERS)]
+    streams = files.stream_each_producer(spark, rows.drop("producer").schema, paths, files_per_trigger=1)
+    return stream_origin(streams, RELATIONS["KeyAggCount"], SETTINGS["events"], delay="1 second")
+
+
 def diff_of_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that were changed in one column, and rows that were changed in two."""
     left = _identified(spark, sf_dir).select("event_id", "key", "value")
@@ -742,6 +763,7 @@ OPERATORS = [
     suite_verdicts_stream,
     recheck_stored,
     stream_many_triggers,
+    stream_producer_clocks,
     stream_csv_source,
     replay_pair,
 ]

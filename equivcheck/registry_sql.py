@@ -5,6 +5,7 @@ from __future__ import annotations
 from equivcheck.plans import suite
 from equivcheck.plans.relations import RELATIONS
 from equivcheck.registry import (
+    CLOCKS_APART_MS,
     DAY,
     GENERATED_FIELDS,
     GENERATOR_SEED,
@@ -395,6 +396,10 @@ def all_sql() -> dict[str, str]:
             "from_source": identified,
             "stream_csv_source": identified,
             "stream_many_triggers": f"{counts} GROUP BY ALL",
+            "stream_producer_clocks": f"WITH t AS (SELECT key, ts + (event_id % {PRODUCERS}) * "
+            f"{CLOCKS_APART_MS} AS ts FROM {EVENTS} e) SELECT (ts // {6 * HOUR}) * {6 * HOUR} AS start, "
+            f"(ts // {6 * HOUR}) * {6 * HOUR} + {6 * HOUR} AS \"end\", key, count(*) AS count "
+            "FROM t GROUP BY ALL",
             "csv_sink": keyed,
             "typed_header_read": identified,
             "declared_ranges": """

@@ -30,6 +30,16 @@ def stream_producers(spark: SparkSession, schema: T.StructType, path: str) -> Da
     return reader.csv(path)
 
 
+def stream_each_producer(
+    spark: SparkSession, schema: T.StructType, paths: Sequence[str], files_per_trigger: int | None = None
+) -> list[DataFrame]:
+    """A stream for each producer's folder, so that each can have a watermark of its own."""
+    reader = spark.readStream.schema(schema).option("header", True).option("mode", "FAILFAST")
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return [reader.csv(path) for path in paths]
+
+
 def merge_producers(frames: Sequence[DataFrame]) -> DataFrame:
     """Producers that are frames already, by column name."""
     return union_all(list(frames))

@@ -9,12 +9,13 @@ future, which arrives after every real row and so makes none of them late.
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from equivcheck.operators.split import union_all
 from equivcheck.operators.windows import stream_time
 from equivcheck.plans.relations import Params, Relation, origin, other
 from equivcheck.session import new_dir
@@ -29,6 +30,7 @@ WHOLE_SPAN = "365000 days"
 # Streams that start at the same time must not undo each other's settings.
 _starting = threading.Lock()
 
+_POLICY = "spark.sql.streaming.multipleWatermarkPolicy"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _KEPT, KEPT_REPORTS = "spark.sql.streaming.numRecentProgressUpdates", 1000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,7 +47,7 @@ def with_event_time(df: DataFrame, delay: str = WHOLE_SPAN) -> DataFrame:
 
 
 def run_bounded(
-    source: DataFrame,
+    source: DataFrame | Sequence[DataFrame],
     build: Callable[[DataFrame], DataFrame],
     delay: str = WHOLE_SPAN,
     windows: bool = True,
@@ -56,6 +58,11 @@ def run_bounded(
 ) -> DataFrame:
     """Run ``build(source)`` to its end and return what it wrote, to ``out`` if given.
 
+    Several sources are producers with clocks of their own: each has a watermark, and windows are closed
+    by the slowest of them.  A producer that keeps its own order of time needs no ``delay`` beyond its
+    own lag, so windows leave the state while input arrives; ``handle.state_rows`` tells how many were
+    held.  Producers that have not sent a row yet hold all windows back.
+
     Through ``handle`` another thread can stop the run, which then ends with ``Stopped``.
 
     Set ``windows=False`` for queries without aggregation: they emit every row
@@ -64,25 +71,31 @@ def run_bounded(
     (the session's shuffle partitions where not given).  Rows that come later than ``delay``
     allows are an error, never dropped in silence.
     """
-    spark = source.sparkSession
+    producers = [source] if isinstance(source, DataFrame) else list(source)
+    spark, schema = producers[0].sparkSession, producers[0].schema
     base = new_dir(spark, "stream")
-    settings = {}
+    settings = {_POLICY: "min"}
     if rocksdb:
         settings[_PROVIDER] = _ROCKSDB
     if partitions is not None:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
     end = (base, out or f"{base}/out", settings, handle or Handle())
     if not windows:
-        return _run(spark, build(with_event_time(source, delay)), *end)
+        return _run(spark, build(union_all([with_event_time(df, delay) for df in producers])), *end)
 
     ending = f"{base}/end"
-    spark.createDataFrame([], source.schema).coalesce(1).write.parquet(ending)
-    ends = spark.readStream.schema(source.schema).parquet(ending)
-    query = build(with_event_time(source.unionByName(ends), delay))
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(ending)
+
+    def ended(df: DataFrame) -> DataFrame:
+        # every producer gets the last row, as every watermark has to move
+        ends = spark.readStream.schema(schema).parquet(ending)
+        return with_event_time(df.unionByName(ends), delay)
+
+    query = build(union_all([ended(df) for df in producers]))
     _run(spark, query, *end)
     last = [
         F.lit(END_OF_STREAM_MS if f.name == "ts" else None).cast(f.dataType).alias(f.name)
-        for f in source.schema
+        for f in schema
     ]
     spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(ending)
     return _run(spark, query, *end)
@@ -93,10 +106,14 @@ class Stopped(Exception):
 
 
 class Handle:
-    """Stops a run from another thread, whichever of its steps it has come to."""
+    """Stops a run from another thread, whichever of its steps it has come to.
+
+    ``state_rows`` maps each trigger that was reported to the rows of state behind it.
+    """
 
     def __init__(self):
         self._lock, self._query, self.stopped = threading.Lock(), None, False
+        self.state_rows: dict[int, int] = {}
 
     def take(self, query: StreamingQuery) -> None:
         with self._lock:
@@ -111,11 +128,14 @@ class Handle:
                 self._query.stop()
 
 
-def late_rows(query: StreamingQuery, kept: int, every_s: float = 0.5) -> int:
+def late_rows(
+    query: StreamingQuery, kept: int, every_s: float = 0.5, state_rows: dict[int, int] | None = None
+) -> int:
     """Rows that a query dropped as late, over all of its triggers, once it has ended.
 
     Spark keeps the last ``kept`` reports.  They are read while the query runs, often enough to meet each
-    of them; where some may have gone in between that is an error, as late rows may be behind it.
+    of them; where some may have gone in between that is an error, as late rows may be behind it.  Rows of
+    state by trigger are put into ``state_rows``.
     """
     dropped: dict[int, int] = {}
     ended = False
@@ -127,6 +147,8 @@ def late_rows(query: StreamingQuery, kept: int, every_s: float = 0.5) -> int:
         for report in reports:
             late = sum(state["numRowsDroppedByWatermark"] for state in report["stateOperators"])
             dropped[report["batchId"]] = max(late, dropped.get(report["batchId"], 0))
+            if state_rows is not None:
+                state_rows[report["batchId"]] = sum(s["numRowsTotal"] for s in report["stateOperators"])
     return sum(dropped.values())
 
 
@@ -157,7 +179,7 @@ def _run(
                 else:
                     spark.conf.set(name, value)
     handle.take(running)
-    late = late_rows(running, KEPT_REPORTS)
+    late = late_rows(running, KEPT_REPORTS, state_rows=handle.state_rows)
     if handle.stopped:
         raise Stopped
     if late:
@@ -165,13 +187,13 @@ def _run(
     return spark.read.schema(query.schema).parquet(out)
 
 
-def stream_origin(source: DataFrame, rel: Relation, p: Params, **run) -> DataFrame:
+def stream_origin(source: DataFrame | Sequence[DataFrame], rel: Relation, p: Params, **run) -> DataFrame:
     run.setdefault("windows", rel.agg is not None)
     return run_bounded(source, lambda df: origin(rel, df, p), **run)
 
 
 def stream_other(
-    source: DataFrame,
+    source: DataFrame | Sequence[DataFrame],
     rel: Relation,
     p: Params,
     predicate: str | None = None,

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from equivcheck.plans import suite
 from equivcheck.plans.compare import compare
@@ -66,6 +67,32 @@ def test_producers_with_clocks_of_their_own(spark, mixed, tmp_path):
     assert compare(expected, stream_origin(whole, rel, PARAMS)).relation == "Equal"
 
 
+def test_windows_leave_the_state_while_producers_send(spark, tmp_path):
+    """Two producers whose clocks are far apart, ten files each in order of time."""
+    schema, paths = "ts bigint, key bigint", [f"{tmp_path}/p/{i}" for i in range(2)]
+    for step in range(10):
+        for i, path in enumerate(paths):
+            made = spark.range(200).selectExpr(f"{i * 40_000} + {step} * 20000 + id * 100 AS ts", "id % 3 AS key")
+            made.coalesce(1).write.mode("append").option("header", True).csv(path)
+    rel, params = RELATIONS["KeyAggCount"], Params(None, None, 1000, None)
+    expected = origin(rel, spark.read.schema(schema).option("header", True).csv(paths), params)
+    handle = Handle()
+    streams = files.stream_each_producer(spark, StructType.fromDDL(schema), paths, 1)
+    got = stream_origin(streams, rel, params, delay="1 second", rocksdb=False, partitions=2, handle=handle)
+    assert compare(expected, got).relation == "Equal"
+    assert max(handle.state_rows.values()) < got.count() / 2
+    # one watermark over both takes the slower producer's rows as late
+    one = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", 1)
+    with pytest.raises(ValueError, match="came later"):
+        stream_origin(one.csv(f"{tmp_path}/p/*"), rel, params, delay="1 second", rocksdb=False, partitions=2)
+    # a producer that is empty holds windows back, and loses none
+    spark.createDataFrame([], schema).coalesce(1).write.option("header", True).csv(f"{tmp_path}/none")
+    more = files.stream_each_producer(spark, streams[0].schema, [paths[0], f"{tmp_path}/none"], 5)
+    alone = origin(rel, spark.read.schema(schema).option("header", True).csv(paths[0]), params)
+    quiet = stream_origin(more, rel, params, delay="1 second", rocksdb=False, partitions=2)
+    assert compare(alone, quiet).relation == "Equal"
+
+
 def test_provider_setting_is_restored(spark):
     assert "HDFSBacked" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
