@@ -2,12 +2,16 @@
 
 1. Words of the training texts are counted (partial counts per task, one shuffle); the table of
    counts grows with the corpus and stays in the shared folder.
-2. Exchange clustering moves *units* between classes until the likelihood of the class bigrams no
-   longer rises.  The most frequent words are units of their own, all others are pooled by the hash
-   of their last three bytes, so that every word, also an unseen one, has a class.  The number of
-   units is fixed; bigrams of units are counted over all training texts and come to the driver as
-   one matrix of that fixed size.
-3. log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class), over all words and
+2. Training texts are read once more and kept as lists of *items* in the shared folder: the place of a
+   word found ``ENOUGH`` times or more, or the pool of a rarer one, by the hash of its last three bytes, so
+   that every word, also an unseen one, has a class.
+3. Exchange clustering first settles a seed: the most frequent words and all other words by their pools,
+   a matrix of fixed size, are moved one by one until nothing moves.  Then sweeps run over all items on
+   the cluster: each is counted with the classes to its left and right, the counts are shuffled to their
+   item, and every item goes to the class where these neighbours make the class bigrams likeliest.  All
+   move at once, so a sweep counts only if the likelihood has risen; sweeps go on until one raises it by
+   less than ``RISE`` a token.
+4. log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class), over all words and
    the end.  Emissions are (c + 0.5) / (N_class + 0.5 (V_class + 1)); transitions are drawn
    towards the classes' shares.
 
@@ -18,6 +22,7 @@ join.  The occurrences of the others are pooled per document, joined with the co
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,21 +34,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equivcheck.llm.common import binary_text
-from equivcheck.session import written
+from equivcheck.session import new_dir, remove, shuffle_partitions, written
 
 CLASSES = 64
-OWN = 512  # words that are units of their own
-POOLS = 511  # units of all other words, by ending
+OWN = 512  # words that are units of their own in the seed
+POOLS = 511  # items of rare and unseen words, by ending
+ENOUGH = 8  # occurrences of a word that is an item of its own
+RISE = 1e-3  # nats a token by which a sweep has to raise the likelihood
+DENSE = 4096  # most frequent items that a task counts in an array
 FREQUENT = 200_000  # words whose counts are sent to the tasks
 LONGEST = 64  # bytes of a word that may be sent
-ROUNDS = 8
 HELD = 200_000  # different words a task holds before it passes their counts on
 PULL = 10.0  # weight of the classes' shares in a transition
 END = OWN + POOLS
+SIDES = 2 * (CLASSES + 1)  # classes to the left, then classes to the right
 
 
 def pool(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-3:]) % POOLS
+    return zlib.crc32(word[-3:]) % POOLS
 
 
 def _counts(texts: DataFrame) -> DataFrame:
@@ -67,24 +75,35 @@ def _counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Frequent words with their place, unit and count."""
+    """Frequent words with their place, item and count, in order of falling count.
+
+    Items are the first ``own`` words, then the pools, then the end.
+    """
 
     def __init__(self, words: list[bytes], counts: list[int]):
         self.place = {w: i for i, w in enumerate(words)}
         self.counts = np.array(counts, np.int64)
-        self.units = np.array([i if i < OWN else pool(w) for i, w in enumerate(words)], np.int64)
+        self.own = max(int((self.counts >= ENOUGH).sum()), min(OWN, len(words)))
+        self.end = self.own + POOLS
+        self.items = np.array([i if i < self.own else self.own + pool(w) for i, w in enumerate(words)], np.int32)
 
     def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Places of the words (-1 if not frequent), units of the words, and the infrequent ones."""
+        """Places of the words (-1 if not frequent), items of the words, and the infrequent ones."""
         parts = text.lower().split()
         get = self.place.get
         at = np.fromiter((get(w, -1) for w in parts), np.int64, len(parts))
-        units = self.units[at] if len(self.units) else np.zeros(len(at), np.int64)
+        items = self.items[at] if len(self.items) else np.zeros(len(at), np.int32)
         missing = np.flatnonzero(at < 0).tolist()
         others = [parts[i] for i in missing]
         if others:
-            units[missing] = [pool(w) for w in others]
-        return at, units, others
+            items[missing] = [self.own + pool(w) for w in others]
+        return at, items, others
+
+    def units(self) -> np.ndarray:
+        """Unit of each item in the seed."""
+        few = min(self.own, OWN)
+        words = [i if i < few else OWN + pool(w) for w, i in self.place.items() if i < self.own]
+        return np.array([*words, *range(OWN, END + 1)], np.int64)
 
 
 def _frequent(counts: DataFrame, most: int) -> tuple[int, Vocabulary]:
@@ -106,41 +125,158 @@ def _frequent(counts: DataFrame, most: int) -> tuple[int, Vocabulary]:
     return least, Vocabulary(rows["word"].tolist(), rows["c"].tolist())
 
 
-def _bigrams(texts: DataFrame, shared) -> np.ndarray:
-    """How often each unit follows each other one, over all texts."""
-    size = END + 1
+def _items(texts: DataFrame, shared) -> DataFrame:
+    """The items of each text, in order."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
+        for batch in batches:
+            lists = [vocabulary.read(text)[1] for text in batch.column(0).to_pylist()]
+            ends = np.cumsum([0, *map(len, lists)])
+            values = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([column], ["items"])
+
+    return texts.mapInArrow(scan, "items array<int>")
+
+
+def _line(batch: pa.RecordBatch, end: int) -> np.ndarray:
+    """All texts of a batch in one line, with the end before, between and behind them."""
+    column = batch.column(0)
+    ends = column.offsets.to_numpy()
+    values = column.flatten().to_numpy()
+    return np.append(np.insert(values.astype(np.int64), ends[:-1] - ends[0], end), end)
+
+
+def _bigrams(items: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How often each unit follows each other one, over all texts."""
+    size, end = END + 1, vocabulary.end
+    shared = items.sparkSession.sparkContext.broadcast(vocabulary.units())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size * size, np.int64)
         for batch in batches:
-            pairs = []
-            for text in batch.column(0).to_pylist():
-                units = vocabulary.read(text)[1]
-                line = np.concatenate([[END], units, [END]])
-                pairs.append(line[:-1] * size + line[1:])
-            if pairs:
-                table += np.bincount(np.concatenate(pairs), minlength=size * size)
+            units = shared.value[_line(batch, end)]
+            table += np.bincount(units[:-1] * size + units[1:], minlength=size * size)
         found = np.flatnonzero(table)
         columns = [pa.array(found), pa.array(table[found])]
         yield pa.RecordBatch.from_arrays(columns, ["pair", "n"])
 
-    rows = texts.mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = items.mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     frame = rows.toArrow().to_pandas()
     table = np.zeros(size * size)
     table[frame["pair"].to_numpy(np.int64)] = frame["n"].to_numpy(float)
     return table.reshape(size, size)
 
 
+def _neighbours(items: DataFrame, end: int, group: np.ndarray) -> DataFrame:
+    """``(code, n)``: how often an item has a class beside it, and from ``(end + 1) * SIDES`` on how often
+    a class follows another one.
+
+    Codes are ``item * SIDES`` + class, for the right side ``CLASSES + 1`` more.
+    """
+    size = CLASSES + 1
+    dense = min(DENSE, end + 1)
+    shared = items.sparkSession.sparkContext.broadcast(group)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, between = np.zeros(dense * SIDES, np.int64), np.zeros(size * size, np.int64)
+
+        def out(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
+
+        for batch in batches:
+            line = _line(batch, end)
+            classes = shared.value[line]
+            codes = np.concatenate([line[1:] * SIDES + classes[:-1], line[:-1] * SIDES + size + classes[1:]])
+            low = codes < dense * SIDES
+            often += np.bincount(codes[low], minlength=len(often))
+            between += np.bincount(classes[:-1] * size + classes[1:], minlength=len(between))
+            yield out(*np.unique(codes[~low], return_counts=True))
+        for table, first in ((often, 0), (between, (end + 1) * SIDES)):
+            found = np.flatnonzero(table)
+            yield out(found + first, table[found])
+
+    return items.mapInArrow(scan, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _better(counts: DataFrame, end: int, table: np.ndarray) -> DataFrame:
+    """``(item, class)``: the class where an item's neighbours make the class bigrams likeliest."""
+    logs = np.log(table + 0.5)
+    before = logs - np.log(table.sum(axis=0) + 0.5)  # by class to the left
+    after = logs.T - np.log(table.sum(axis=1) + 0.5)  # by class to the right
+    weights = np.concatenate([before, after])[:, :CLASSES]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_item, held = -1, np.zeros(CLASSES)
+
+        def out(items: np.ndarray, gains: np.ndarray) -> pa.RecordBatch:
+            best = np.argmax(gains, axis=1) if len(items) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(best, pa.int64())], ["item", "class"])
+
+        for batch in batches:
+            codes, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(codes):
+                continue
+            items, first = np.unique(codes // SIDES, return_index=True)  # rows come in order of code
+            gains = np.add.reduceat(weights[codes % SIDES] * n[:, None], first, axis=0)
+            if items[0] == held_item:
+                gains[0] += held
+            elif held_item >= 0:
+                yield out(np.array([held_item]), held[None])
+            yield out(items[:-1], gains[:-1])
+            held_item, held = int(items[-1]), gains[-1]
+        if held_item >= 0:
+            yield out(np.array([held_item]), held[None])
+
+    item = F.floor(F.col("code") / F.lit(SIDES))
+    movable = counts.where(F.col("code") < end * SIDES)
+    spread = movable.repartition(shuffle_partitions(counts.sparkSession), item).sortWithinPartitions("code")
+    return spread.mapInArrow(scan, "item long, class long")
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of class bigrams per token, but for a constant of the words."""
+    value = _xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum()
+    return float(value / max(table.sum(), 1))
+
+
+def sweep(items: DataFrame, end: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all items after the last sweep that raised the likelihood, and their bigrams."""
+    spark = items.sparkSession
+    kept: tuple[np.ndarray, np.ndarray] | None = None
+    while True:
+        path = new_dir(spark, "neighbours")
+        _neighbours(items, end, group).write.parquet(path)
+        counts = spark.read.schema("code long, n long").parquet(path)
+        base = (end + 1) * SIDES
+        frame = counts.where(F.col("code") >= base).toArrow().to_pandas()
+        table = np.zeros((CLASSES + 1) ** 2)
+        table[frame["code"].to_numpy(np.int64) - base] = frame["n"].to_numpy(float)
+        table = table.reshape(CLASSES + 1, CLASSES + 1)
+        rise = likelihood(table) - likelihood(kept[1]) if kept else np.inf
+        if rise > 0:
+            kept = group, table
+        moved = kept[0].copy()
+        if rise >= RISE:
+            # as many rows as items, which FREQUENT bounds
+            best = _better(counts, end, table).toArrow().to_pandas()
+            moved[best["item"].to_numpy(np.int64)] = best["class"].to_numpy(np.int64)
+        remove(spark, path)
+        if np.array_equal(moved, kept[0]):
+            return kept
+        group = moved
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int | None = None) -> np.ndarray:
     """Class of each unit.  The last unit, the end, has a class of its own that nothing joins.
 
     Units are visited by falling frequency; each goes to the class where the likelihood of the
-    class bigrams is greatest, staying put on ties, until a round moves nothing.
+    class bigrams is greatest, staying put on ties, until a round moves nothing (or after ``rounds``).
     """
     n = len(bigrams)
     order = np.argsort(-bigrams.sum(axis=1)[: n - 1], kind="stable")
@@ -151,7 +287,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     member[np.arange(n), group] = 1
     right, left = bigrams @ member, bigrams.T @ member  # counts of unit against class
     table = member.T @ right
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         moved = 0
         for u in order.tolist():
             own, twice = group[u], bigrams[u, u]
@@ -188,24 +324,42 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return group
 
 
-def _unit_sums(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and different words of each unit."""
-    own = list(vocabulary.place)[:OWN]
-    tokens, kinds = np.zeros(END + 1), np.zeros(END + 1)
-    tokens[: len(own)] = vocabulary.counts[: len(own)]
-    kinds[: len(own)] = 1
+def _item_sums(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and different words of each item but the end."""
+    own = vocabulary.own
+    tokens, kinds = np.zeros(vocabulary.end + 1), np.zeros(vocabulary.end + 1)
+    tokens[:own] = vocabulary.counts[:own]
+    kinds[:own] = 1
     tail = F.when(F.length("word") > 3, F.expr("substring(word, length(word) - 2, 3)")).otherwise(F.col("word"))
     sums = counts.groupBy((F.crc32(tail) % POOLS).alias("pool")).agg(
         F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")
     )
     for row in sums.collect():
-        tokens[OWN + row["pool"]], kinds[OWN + row["pool"]] = row["c"], row["n"]
-    for word, c in zip(own, vocabulary.counts[: len(own)].tolist(), strict=True):
-        tokens[pool(word)] -= c
-        kinds[pool(word)] -= 1
+        tokens[own + row["pool"]], kinds[own + row["pool"]] = row["c"], row["n"]
+    for word, i in vocabulary.place.items():
+        if i < own:
+            tokens[own + pool(word)] -= vocabulary.counts[i]
+            kinds[own + pool(word)] -= 1
     return tokens, kinds
 
 
+def learn_classes(
+    texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, shared
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each item, log10 of the transitions, log10 of the emissions' denominators by class."""
+    items = written(_items(texts, shared), "items")
+    seed = exchange(_bigrams(items, vocabulary))
+    group, between = sweep(items, vocabulary.end, seed[vocabulary.units()])
+    tokens, kinds = _item_sums(counts, vocabulary)
+    share = (between.sum(axis=0) + 1) / (between.sum() + CLASSES + 1)
+    moves = np.log10((between + PULL * share) / (between.sum(axis=1, keepdims=True) + PULL))
+
+    def by_class(values: np.ndarray) -> np.ndarray:
+        return np.bincount(group, weights=values, minlength=CLASSES + 1)
+
+    return group, moves, np.log10(by_class(tokens) + 0.5 * (by_class(kinds) + 1))
+
+
 def score(
     docs: DataFrame,
     learn: Column,
@@ -227,18 +381,7 @@ def score(
     least, vocabulary = _frequent(counts, frequent)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(vocabulary)
-    bigrams = _bigrams(texts, shared)
-    group = exchange(bigrams)
-    tokens, kinds = _unit_sums(counts, vocabulary)
-
-    size = CLASSES + 1
-    member = np.zeros((END + 1, size))
-    member[np.arange(END + 1), group] = 1
-    between = member.T @ bigrams @ member
-    share = (between.sum(axis=0) + 1) / (between.sum() + size)
-    moves = np.log10((between + PULL * share) / (between.sum(axis=1, keepdims=True) + PULL))
-    below = np.log10(tokens @ member + 0.5 * (kinds @ member + 1))
-    model = context.broadcast((group, moves, below))
+    model = context.broadcast(learn_classes(texts, counts, vocabulary, shared))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (groups, step, norm) = shared.value, model.value
@@ -246,8 +389,8 @@ def score(
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                at, units, others = known.read(text)
-                line = np.concatenate([[CLASSES], groups[units], [CLASSES]])
+                at, items, others = known.read(text)
+                line = np.concatenate([[CLASSES], groups[items], [CLASSES]])
                 there = at[at >= 0]
                 row = (
                     len(at) + 1,

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from equivcheck.llm import brown, chat, decontaminate, language, mixing, pseudonyms, quality, simhash, toxicity, urls
-from equivcheck.llm.common import remainder
+from equivcheck.llm.common import binary_text, remainder
 from equivcheck.llm.components import components
 from equivcheck.llm.queries import levels, rules
 
@@ -354,6 +354,103 @@ def test_brown_is_a_distribution_and_learns_order(spark):
     assert sum(got[i]["score"] for i in range(40)) > sum(got[i]["base_score"] for i in range(40))
 
 
+def _brown_corpus(spark):
+    draw = random.Random(16)
+    kinds = [[k + str(i) for i in range(40)] for k in "abc"]
+    rows = [(i, " ".join(draw.choice(kinds[j % 3]) for j in range(draw.randint(0, 90)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "A1 never seen B2 a1"), (203, "a1 " * 3000), (204, "a1 b1 c1"), (204, "a1 b1 c1")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_brown_scores_from_classes(spark):
+    """Transitions, emissions and scores worked out again from the class of each word."""
+    rows, df = _brown_corpus(spark)
+    learnt = df.where("doc_id % 5 != 1").select(binary_text(F.col("text")).alias("text"))
+    counts = brown.written(brown._counts(learnt), "counts")
+    vocabulary = brown._frequent(counts, brown.FREQUENT)[1]
+    shared = spark.sparkContext.broadcast(vocabulary)
+    group = brown.learn_classes(learnt, counts, vocabulary, shared)[0]
+    last = brown.CLASSES
+
+    def cls(w):
+        i = vocabulary.place.get(w.encode(), vocabulary.own)
+        return group[i if i < vocabulary.own else vocabulary.own + zlib.crc32(w.encode()[-3:]) % brown.POOLS]
+
+    texts = [words(lower(t)) if t else [] for i, t in rows if i % 5 != 1]
+    c = Counter(w for t in texts for w in t)
+    pairs, tokens, kinds = Counter(), Counter(), Counter()
+    for t in texts:
+        line = [last, *map(cls, t), last]
+        pairs.update(zip(line[:-1], line[1:], strict=True))
+    for w, k in c.items():
+        tokens[cls(w)] += k
+        kinds[cls(w)] += 1
+    into, out = Counter(), Counter()
+    for (x, y), k in pairs.items():
+        out[x] += k
+        into[y] += k
+    whole = sum(pairs.values())
+
+    def step(x, y):
+        share = (into[y] + 1) / (whole + last + 1)
+        return (pairs[x, y] + brown.PULL * share) / (out[x] + brown.PULL)
+
+    n_ends = len(texts)
+    found = brown.score(df, F.col("doc_id") % 5 != 1).collect()
+    assert len(found) == len(rows)
+    said = dict(rows)
+    for r in found:
+        t = words(lower(said[r["id"]])) if said[r["id"]] else []
+        line = [last, *map(cls, t), last]
+        expected = sum(np.log10(step(x, y)) for x, y in zip(line[:-1], line[1:], strict=True))
+        expected += sum(np.log10((c[w] + 0.5) / (tokens[cls(w)] + 0.5 * (kinds[cls(w)] + 1))) for w in t)
+        assert r["score"] == pytest.approx(expected)
+    assert n_ends == out[last]
+
+
+def test_brown_neighbours_and_moves(spark):
+    """Counts beside each item and the class it goes to, against plain loops; a sweep never lowers."""
+    draw = random.Random(3)
+    end = 30
+    lists = [[draw.randrange(end) for _ in range(draw.randint(0, 40))] for _ in range(50)] + [[]]
+    items = spark.createDataFrame([(x,) for x in lists], "items array<int>").repartition(5)
+    group = np.array([draw.randrange(brown.CLASSES) for _ in range(end)] + [brown.CLASSES])
+    size, table = brown.CLASSES + 1, np.zeros((brown.CLASSES + 1,) * 2)
+    sides = Counter()
+    for x in lists:
+        line = [end, *x, end]
+        for a, b in zip(line[:-1], line[1:], strict=True):
+            table[group[a], group[b]] += 1
+            sides[b * brown.SIDES + group[a]] += 1
+            sides[a * brown.SIDES + size + group[b]] += 1
+    saved = brown.DENSE
+    for brown.DENSE in (4, saved):
+        counts = brown._neighbours(items, end, group)
+        got = {r["code"]: r["n"] for r in counts.collect()}
+        base = (end + 1) * brown.SIDES
+        between = {k - base: v for k, v in got.items() if k >= base}
+        # the ends of neighbouring texts are one in a line: their own sides are not used
+        assert {k: v for k, v in got.items() if k < end * brown.SIDES} == {k: v for k, v in sides.items() if k < end * brown.SIDES}
+        assert all(table.ravel()[k] == v for k, v in between.items()) and sum(between.values()) == table.sum()
+    best = {r["item"]: r["class"] for r in brown._better(counts, end, table).collect()}
+    logs, into, out = np.log(table + 0.5), np.log(table.sum(axis=0) + 0.5), np.log(table.sum(axis=1) + 0.5)
+    for i in range(end):
+        gain = np.zeros(brown.CLASSES)
+        for k in range(size):
+            gain += sides[i * brown.SIDES + k] * (logs[k] - into)[: brown.CLASSES]
+            gain += sides[i * brown.SIDES + size + k] * (logs[:, k] - out)[: brown.CLASSES]
+        assert gain[best[i]] == pytest.approx(gain.max())
+    last, after = brown.sweep(items, end, group)
+    assert brown.likelihood(after) >= brown.likelihood(table) and last[end] == brown.CLASSES
+    member = np.eye(size)[last]
+    moved = np.zeros((size, size))
+    for x in lists:
+        line = [end, *x, end]
+        for a, b in zip(line[:-1], line[1:], strict=True):
+            moved += np.outer(member[a], member[b])
+    assert (moved == after).all()
+
+
 def test_exchange_never_lowers_the_likelihood():
     draw = np.random.default_rng(3)
     table = draw.poisson(1.0, (31, 31)).astype(float)
@@ -364,7 +461,7 @@ def test_exchange_never_lowers_the_likelihood():
         g = member.T @ table @ member
         return brown._xlogx(g).sum() - brown._xlogx(g.sum(axis=0)).sum() - brown._xlogx(g.sum(axis=1)).sum()
 
-    group = [brown.exchange(table, classes=4, rounds=r) for r in (0, 1, 2, 8)]
+    group = [brown.exchange(table, classes=4, rounds=r) for r in (0, 1, 2, 8, None)]
     values = [value(g) for g in group]
     assert values == sorted(values) and values[-1] > values[0]
     assert all(g[-1] == 4 and (g[:-1] < 4).all() for g in group)
