@@ -432,6 +432,13 @@ def test_brown_neighbours_and_moves(spark):
         # the ends of neighbouring texts are one in a line: their own sides are not used
         assert {k: v for k, v in got.items() if k < end * brown.SIDES} == {k: v for k, v in sides.items() if k < end * brown.SIDES}
         assert all(table.ravel()[k] == v for k, v in between.items()) and sum(between.values()) == table.sum()
+    few = brown.Vocabulary([b"w%d" % i for i in range(9)], [20] * 9)
+    read = [[few.read(b" ".join(b"w%d" % i for i in x))[1].tolist()] for x in lists]
+    units, seed = few.units(), np.zeros((brown.END + 1,) * 2)
+    for (x,) in read:
+        line = units[[few.end, *x, few.end]]
+        np.add.at(seed, (line[:-1], line[1:]), 1)
+    assert (brown._bigrams(spark.createDataFrame(read, "items array<int>").repartition(5), few) == seed).all()
     best = {r["item"]: r["class"] for r in brown._better(counts, end, table).collect()}
     logs, into, out = np.log(table + 0.5), np.log(table.sum(axis=0) + 0.5), np.log(table.sum(axis=1) + 0.5)
     for i in range(end):
