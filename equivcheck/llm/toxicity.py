@@ -8,23 +8,25 @@ layer weighs them.  Trained by AdaGrad on a bounded sample of labelled rows: at
 toxic and ``MAX_CLEAN`` other rows and about ``MAX_BYTES`` of text, drawn by the hash of their id from
 all that may be learnt from, of texts of at most ``MAX_CHARS`` characters.
 
-Thresholds are calibrated by language on all rows that may be learnt from, whole texts of any length.
-Rows of the sample are scored by models that were trained without them (``FOLDS`` parts), the others by
-the model itself, in Spark; what is collected are counts by language, score bin and label.  A language
+Every row is scored once, whole texts of any length, and what the model said of it (language, score bin,
+logit) is kept in the shared folder.  Thresholds are calibrated by language on all rows that may be learnt
+from: those of the sample by models that were trained without them (``FOLDS`` parts), the others by the
+kept rows, joined with their labels; what is collected are counts by language, score bin and label.  A language
 gets the cut with the fewest errors among its own rows and those of all languages, the latter scaled to
 ``PRIOR`` toxic rows: few rows stay near the common cut, many decide for themselves.  Scores are
 shifted so that 0.5 is that cut.  The language is worked out from the words of the text alone (naive
 Bayes over the same hashes); the ``LANGUAGES`` most frequent of the sample are told apart, texts in
 others are calibrated with the language they look most like.
 
-Scoring is row by row over whole texts; the model (some 50 MB at most) is broadcast.
+Texts are never shuffled: joins see ids, sizes and what the model said.  The model (some 50 MB at most)
+and the ids of the sample are broadcast.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 
 from equivcheck.llm.common import binary_text
 from equivcheck.llm.decontaminate import _CLASS, hash_words
+from equivcheck.session import written
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS, MAX_BYTES = 2_000, 4_000, 20_000, 24_000_000
 FOLDS, PRIOR, LANGUAGES = 3, 20, 64
@@ -81,7 +84,6 @@ class Model:
     offset: float
     tags: np.ndarray  # (tables, 2^BITS), of the words that the sample holds often enough
     languages: np.ndarray | None = None  # (2^LANGUAGE_BITS, languages), log shares
-    cuts: list[float] = field(default_factory=list)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Row in each table; row 0 for gaps and for what the sample does not know."""
@@ -119,10 +121,6 @@ class Model:
         ids = self.known(hashes)
         return self.groups(ids, first), self.logits(ids, first)
 
-    def scores(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        groups, logits = self.judged(hashes, first)
-        return 1 / (1 + np.exp(-np.clip(logits - np.array(self.cuts)[groups], -30, 30)))
-
 
 def _begin(hashes: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Model:
     """Small random vectors for words of the sample; the first number says how toxic a word looks."""
@@ -265,58 +263,39 @@ def _apart(hashes: np.ndarray, first: np.ndarray, y: np.ndarray, weights: np.nda
     return out
 
 
-def _counts(rows: DataFrame, model: Model, shared) -> np.ndarray:
-    """Rows ``text, y`` counted by language, score bin and label."""
+def _named(df: DataFrame, name: str) -> Column:
+    return df["`" + name.replace("`", "``") + "`"]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y = np.asarray(batch.column(1).to_pylist(), np.int64)
-            at = 0
-            for piece in _pieces(batch.column(0).to_pylist()):
-                groups, logits = shared.value.judged(*word_hashes(piece))
-                keys = np.stack([groups, score_bin(logits), y[at : at + len(piece)]], axis=1)
-                found, n = np.unique(keys, axis=0, return_counts=True)
-                at += len(piece)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in (*found.T, n)], ["g", "b", "y", "n"]
-                )
-
-    found = rows.mapInArrow(scan, "g bigint, b bigint, y bigint, n bigint").groupBy("g", "b", "y").agg(F.sum("n").alias("n"))
-    counts = np.zeros((model.languages.shape[1], 2 * LIMIT * STEPS + 1, 2))
-    for r in found.collect():  # at most languages x bins x 2
-        counts[r.g, r.b, r.y] = r.n
-    return counts
 
+def _short(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit(""))) <= MAX_CHARS
 
-def _named(df: DataFrame, name: str) -> Column:
-    return df["`" + name.replace("`", "``") + "`"]
+
+def _marks(labels: DataFrame, learn: Column, id_column: str) -> DataFrame:
+    """``(id, y)`` of the labels that may be used.  An id with labels of both kinds says nothing."""
+    marks = labels.where(learn & F.col("toxic").isin(0, 1)).select(_named(labels, id_column).alias("id"), F.col("toxic").cast("int").alias("y"))
+    return marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
 
 
 def fit(
     docs: DataFrame,
-    labels: DataFrame,
-    learn: Column,
+    marks: DataFrame,
     id_column: str = "doc_id",
     max_toxic: int = MAX_TOXIC,
     max_clean: int = MAX_CLEAN,
     text: str = "text",
     lang: str = "lang",
-) -> Model | None:
-    """The model, or nothing if the labels do not hold both kinds.
+) -> tuple[Model, Column, np.ndarray] | None:
+    """The model, which labelled rows ``(id, y, short)`` are its sample, and the sample's counts by
+    language, score bin and label; or nothing if the labels do not hold both kinds.
 
     ``docs`` may lack the column ``lang``: all texts are one language then.
     """
-    marked = labels.where(learn & F.col("toxic").isin(0, 1)).select(_named(labels, id_column).alias("id"), F.col("toxic").cast("int").alias("y"))
-    # An id with labels of both kinds says nothing.
-    marked = marked.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
-    known = lang in docs.columns
-    rows = docs.select(
-        _named(docs, id_column).alias("id"),
-        _named(docs, text).alias("whole"),
-        (_named(docs, lang) if known else F.lit(None)).cast("string").alias("lang"),
-    ).select("*", (F.length(F.coalesce("whole", F.lit(""))) <= MAX_CHARS).alias("short"))
-    joined = rows.join(marked, "id")
-    sizes = joined.where("short").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.coalesce("whole", F.lit("")))).alias("size"))
+    whole = _named(docs, text)
+    own = _named(docs, id_column).alias("id")
+    size = F.octet_length(F.coalesce(whole, F.lit("")))
+    labelled = written(docs.select(own, size.alias("size"), _short(whole).alias("short")).join(marks, "id"), "labelled")
+    sizes = labelled.where("short").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     totals = {r["y"]: (r["n"], r["size"]) for r in sizes.collect()}
     if len(totals) < 2:
         return None
@@ -327,7 +306,10 @@ def fit(
         share = 1_000_000 if n <= most and size <= room else int(min(most / n, room / size, 1) * 900_000) + 1
         drawn = drawn | ((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share))
     drawn = drawn & F.col("short")
-    got = joined.where(drawn).select("id", "y", "lang", binary_text(F.col("whole")).alias("whole"))
+    sample = labelled.where(drawn).select("id", "y").distinct()  # about max_toxic + max_clean at most
+    known = _named(docs, lang) if lang in docs.columns else F.lit(None)
+    texts = docs.where(_short(whole)).select(own, known.cast("string").alias("lang"), binary_text(whole).alias("whole"))
+    got = texts.join(F.broadcast(sample), "id").select("id", "y", "lang", "whole")
     table = got.toArrow().sort_by([("id", "ascending"), ("whole", "ascending")]).to_pydict()
     y = np.array(table["y"], np.int64)
     kinds = {k: int((y == k).sum()) for k in (0, 1)}
@@ -343,12 +325,9 @@ def fit(
     judged = [model.judged(*piece) for piece in pieces]
     groups = np.concatenate([g for g, _ in judged])
     logits = np.concatenate([x for _, x in judged]) if apart is None else apart
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    counts = _counts(joined.where(~drawn).select(binary_text(F.col("whole")), "y"), model, shared)
-    shared.destroy()
+    counts = np.zeros((model.languages.shape[1], 2 * LIMIT * STEPS + 1, 2))
     np.add.at(counts, (groups, score_bin(logits), y), 1)
-    model.cuts = cuts_of(counts)
-    return model
+    return model, drawn, counts
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -364,6 +343,22 @@ def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield piece
 
 
+def _said(rows: DataFrame, shared) -> DataFrame:
+    """All columns of ``rows`` but the last, the text, and its language, score bin and logit."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.judged(*word_hashes(piece)) for piece in _pieces(batch.columns[-1].to_pylist())]
+            if not found:
+                continue
+            groups, logits = (np.concatenate(x) for x in zip(*found, strict=True))
+            columns = [pa.array(groups, pa.int32()), pa.array(score_bin(logits), pa.int32()), pa.array(logits, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "g", "b", "logit"])
+
+    said = T.StructType.fromDDL("g int, b int, logit double")
+    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields[:-1], *said.fields]))
+
+
 def score(
     docs: DataFrame,
     labels: DataFrame,
@@ -382,22 +377,20 @@ def score(
     Null and empty texts get the score of a text without words.  Rows repeat as they come in.
     Without labels of both kinds every score is 0.
     """
-    model = fit(docs, labels, learn, id_column, max_toxic, max_clean, text, lang)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[float] = []
-            for piece in _pieces(batch.column(batch.num_columns - 1).to_pylist()):
-                out += shared.value.scores(*word_hashes(piece)).tolist() if shared.value else [0.0] * len(piece)
-            said = pa.array([int(x >= 0.5) for x in out], pa.int32())
-            columns = [*batch.columns[:-1], pa.array(out, pa.float64()), said]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score", "predicted"])
-
-    kept = [_named(docs, name) for name in keep]
-    rows = docs.select(_named(docs, id_column).alias("id"), *kept, binary_text(_named(docs, text)).alias("whole text"))
-    fields = rows.schema.fields[:-1]
-    schema = T.StructType(
-        [*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    )
-    return rows.mapInArrow(scan, schema)
+    marks = _marks(labels, learn, id_column)
+    fitted = fit(docs, marks, id_column, max_toxic, max_clean, text, lang)
+    kept = [_named(docs, name).alias(f"keep{i}") for i, name in enumerate(keep)]
+    names = ["id", *keep, "score", "predicted"]
+    rows = docs.select(_named(docs, id_column).alias("id"), *kept, _short(_named(docs, text)).alias("short"), binary_text(_named(docs, text)))
+    own = ["id", *[f"keep{i}" for i in range(len(keep))]]
+    if fitted is None:
+        return rows.select(*own, F.lit(0.0), F.lit(0)).toDF(*names)
+    model, drawn, counts = fitted
+    said = written(_said(rows, docs.sparkSession.sparkContext.broadcast(model)), "said")
+    rest = said.select("id", "short", "g", "b").join(marks, "id").where(~drawn)
+    for r in rest.groupBy("g", "b", "y").agg(F.count(F.lit(1)).alias("n")).collect():  # at most languages x bins x 2
+        counts[r.g, r.b, r.y] += r.n
+    cut = F.element_at(F.array(*[F.lit(x) for x in cuts_of(counts)]), F.col("g") + 1)
+    logit = F.greatest(F.least(F.col("logit") - cut, F.lit(30.0)), F.lit(-30.0))
+    found = said.select(*own, (1 / (1 + F.exp(-logit))).alias("score"))
+    return found.select(*own, "score", (F.col("score") >= 0.5).cast("int")).toDF(*names)

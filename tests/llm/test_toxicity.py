@@ -95,3 +95,29 @@ def test_long_texts_and_the_rest_of_the_rows_count_for_the_cut(spark, monkeypatc
     got = toxicity.score(df, labels, F.lit(True)).collect()
     assert seen == [[200, 100]]
     assert np.mean([(r["predicted"] == 1) == (r["id"] % 3 == 0) for r in got]) > 0.95
+
+
+def _shuffled(spark):
+    """Bytes of the shuffle files of this session that are there."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    paths = [files.apply(i) for i in range(files.size())]
+    return {p.getName(): p.length() for p in paths if p.getName().startswith("shuffle_")}
+
+
+def test_texts_are_not_shuffled(spark):
+    """Joins take ids and sizes, also where no side is small enough to be broadcast."""
+    draw = random.Random(5)
+    rows = [(i, t + " " + draw.randbytes(4000).hex(), y) for i, t, y in _texts(spark, 600)]
+    df = spark.createDataFrame([(i, t, "en") for i, t, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        got = toxicity.score(df, labels, F.lit(True), max_toxic=50, max_clean=100).collect()
+        after = _shuffled(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    written = sum(n for name, n in after.items() if name not in before)
+    assert 0 < written < 500_000 < sum(len(t) for _, t, _ in rows)
+    assert len(got) == 600 and np.mean([(r["predicted"] == 1) == (r["id"] % 3 == 0) for r in got]) > 0.95
