@@ -8,7 +8,7 @@
 3. Exchange clustering first settles a seed: the most frequent words and all other words by their pools,
    a matrix of fixed size, are moved one by one until nothing moves.  Then sweeps run over all items on
    the cluster: each is counted with the classes to its left and right, the counts are shuffled to their
-   item, and every item goes to the class where these neighbours make the class bigrams likeliest.  All
+   item, a row per item and task, and every item goes to the class where these neighbours make the class bigrams likeliest.  All
    move at once, so a sweep counts only if the likelihood has risen; sweeps go on until one raises it by
    less than ``RISE`` a token.
 4. log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class), over all words and
@@ -42,6 +42,7 @@ POOLS = 511  # items of rare and unseen words, by ending
 ENOUGH = 8  # occurrences of a word that is an item of its own
 RISE = 1e-3  # nats a token by which a sweep has to raise the likelihood
 DENSE = 4096  # most frequent items that a task counts in an array
+WAITING = 1_000_000  # counts that a task gathers before it sums them up
 FREQUENT = 200_000  # words whose counts are sent to the tasks
 LONGEST = 64  # bytes of a word that may be sent
 HELD = 200_000  # different words a task holds before it passes their counts on
@@ -91,7 +92,7 @@ class Vocabulary:
         """Places of the words (-1 if not frequent), items of the words, and the infrequent ones."""
         parts = text.lower().split()
         get = self.place.get
-        at = np.fromiter((get(w, -1) for w in parts), np.int64, len(parts))
+        at = np.fromiter(map(get, parts, itertools.repeat(-1)), np.int64, len(parts))
         items = self.items[at] if len(self.items) else np.zeros(len(at), np.int32)
         missing = np.flatnonzero(at < 0).tolist()
         others = [parts[i] for i in missing]
@@ -169,38 +170,75 @@ def _bigrams(items: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return table.reshape(size, size)
 
 
-def _neighbours(items: DataFrame, end: int, group: np.ndarray) -> DataFrame:
-    """``(code, n)``: how often an item has a class beside it, and from ``(end + 1) * SIDES`` on how often
-    a class follows another one.
+def _lists(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts of codes in rising order as ``(item, side, n)``, a row per item."""
+    items = codes // SIDES
+    first = np.flatnonzero(np.diff(items, prepend=-1))
+    ends = pa.array(np.append(first, len(codes)), pa.int32())
+    sides, counts = pa.array(codes % SIDES, pa.int16()), pa.array(n, pa.int64())
+    columns = [pa.array(items[first], pa.int32()), *(pa.ListArray.from_arrays(ends, x) for x in (sides, counts))]
+    return pa.RecordBatch.from_arrays(columns, ["item", "side", "n"])
+
+
+def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of ``_lists``."""
+    items, sides, n = batch.columns
+    first = np.repeat(items.to_numpy().astype(np.int64) * SIDES, np.diff(sides.offsets.to_numpy()))
+    return first + sides.flatten().to_numpy(), n.flatten().to_numpy()
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in rising order, with the sum of its counts."""
+    codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(n[order], first) if len(first) else n
+
 
-    Codes are ``item * SIDES`` + class, for the right side ``CLASSES + 1`` more.
+_BESIDE = "item int, side array<short>, n array<long>"
+
+
+def _beside(items: DataFrame, end: int, group: np.ndarray) -> DataFrame:
+    """``(item, side, n)``: how often an item has each class beside it; every item is one row.
+
+    Sides are classes to the left, and ``CLASSES + 1`` more to the right.  The code of a count is
+    ``item * SIDES + side``; from ``(end + 1) * SIDES`` on codes say how often a class follows another one.
+
+    A task sends a row per item, not one per count, and the counts of an item meet in one task.
     """
     size = CLASSES + 1
     dense = min(DENSE, end + 1)
-    shared = items.sparkSession.sparkContext.broadcast(group)
+    kind = np.int32 if (end + 1 + size) * SIDES < 1 << 31 else np.int64
+    shared = items.sparkSession.sparkContext.broadcast(group.astype(kind))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, between = np.zeros(dense * SIDES, np.int64), np.zeros(size * size, np.int64)
-
-        def out(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
-
         for batch in batches:
-            line = _line(batch, end)
+            line = _line(batch, end).astype(kind)
             classes = shared.value[line]
             codes = np.concatenate([line[1:] * SIDES + classes[:-1], line[:-1] * SIDES + size + classes[1:]])
             low = codes < dense * SIDES
             often += np.bincount(codes[low], minlength=len(often))
             between += np.bincount(classes[:-1] * size + classes[1:], minlength=len(between))
-            yield out(*np.unique(codes[~low], return_counts=True))
+            yield _lists(*np.unique(codes[~low], return_counts=True))
         for table, first in ((often, 0), (between, (end + 1) * SIDES)):
             found = np.flatnonzero(table)
-            yield out(found + first, table[found])
+            yield _lists(found + first, table[found])
 
-    return items.mapInArrow(scan, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+        for batch in batches:
+            waiting.append(_codes(batch))
+            if sum(len(n) for _, n in waiting) > max(WAITING, len(held[0])):
+                held, waiting = _summed([held, *waiting]), []
+        yield _lists(*_summed([held, *waiting]))
 
+    spread = items.mapInArrow(scan, _BESIDE).repartition(shuffle_partitions(items.sparkSession), "item")
+    return spread.mapInArrow(merge, _BESIDE)
 
-def _better(counts: DataFrame, end: int, table: np.ndarray) -> DataFrame:
+
+def _moves(beside: DataFrame, end: int, table: np.ndarray) -> DataFrame:
     """``(item, class)``: the class where an item's neighbours make the class bigrams likeliest."""
     logs = np.log(table + 0.5)
     before = logs - np.log(table.sum(axis=0) + 0.5)  # by class to the left
@@ -208,31 +246,30 @@ def _better(counts: DataFrame, end: int, table: np.ndarray) -> DataFrame:
     weights = np.concatenate([before, after])[:, :CLASSES]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_item, held = -1, np.zeros(CLASSES)
+        for batch in batches:
+            items, sides, n = batch.columns
+            counts = np.zeros((len(items), SIDES))
+            rows = np.repeat(np.arange(len(items)), np.diff(sides.offsets.to_numpy()))
+            counts[rows, sides.flatten().to_numpy()] = n.flatten().to_numpy()
+            best = np.argmax(counts @ weights, axis=1)
+            yield pa.RecordBatch.from_arrays([items.cast(pa.int64()), pa.array(best, pa.int64())], ["item", "class"])
 
-        def out(items: np.ndarray, gains: np.ndarray) -> pa.RecordBatch:
-            best = np.argmax(gains, axis=1) if len(items) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(best, pa.int64())], ["item", "class"])
+    return beside.where(F.col("item") < end).select("item", "side", "n").mapInArrow(scan, "item long, class long")
 
-        for batch in batches:
-            codes, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(codes):
-                continue
-            items, first = np.unique(codes // SIDES, return_index=True)  # rows come in order of code
-            gains = np.add.reduceat(weights[codes % SIDES] * n[:, None], first, axis=0)
-            if items[0] == held_item:
-                gains[0] += held
-            elif held_item >= 0:
-                yield out(np.array([held_item]), held[None])
-            yield out(items[:-1], gains[:-1])
-            held_item, held = int(items[-1]), gains[-1]
-        if held_item >= 0:
-            yield out(np.array([held_item]), held[None])
-
-    item = F.floor(F.col("code") / F.lit(SIDES))
-    movable = counts.where(F.col("code") < end * SIDES)
-    spread = movable.repartition(shuffle_partitions(counts.sparkSession), item).sortWithinPartitions("code")
-    return spread.mapInArrow(scan, "item long, class long")
+
+def _neighbours(items: DataFrame, end: int, group: np.ndarray) -> DataFrame:
+    """What ``_beside`` counts as ``(code, n)``, a row per count."""
+    counts = _beside(items, end, group).select("item", F.explode(F.arrays_zip("side", "n")).alias("x"))
+    return counts.select((F.col("item").cast("long") * SIDES + F.col("x.side")).alias("code"), "x.n")
+
+
+def _better(counts: DataFrame, end: int, table: np.ndarray) -> DataFrame:
+    """``_moves`` of what ``_neighbours`` gives."""
+    item = F.floor(F.col("code") / F.lit(SIDES)).cast("int")
+    lists = counts.groupBy(item.alias("item")).agg(
+        F.sort_array(F.collect_list(F.struct((F.col("code") % SIDES).cast("short").alias("side"), "n"))).alias("x")
+    )
+    return _moves(lists.select("item", "x.side", "x.n"), end, table)
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -247,12 +284,11 @@ def sweep(items: DataFrame, end: int, group: np.ndarray) -> tuple[np.ndarray, np
     kept: tuple[np.ndarray, np.ndarray] | None = None
     while True:
         path = new_dir(spark, "neighbours")
-        _neighbours(items, end, group).write.parquet(path)
-        counts = spark.read.schema("code long, n long").parquet(path)
-        base = (end + 1) * SIDES
-        frame = counts.where(F.col("code") >= base).toArrow().to_pandas()
+        _beside(items, end, group).write.parquet(path)
+        counts = spark.read.schema(_BESIDE).parquet(path)
         table = np.zeros((CLASSES + 1) ** 2)
-        table[frame["code"].to_numpy(np.int64) - base] = frame["n"].to_numpy(float)
+        for row in counts.where(F.col("item") > end).collect():  # the class bigrams
+            table[(row["item"] - end - 1) * SIDES + np.array(row["side"])] = row["n"]
         table = table.reshape(CLASSES + 1, CLASSES + 1)
         rise = likelihood(table) - likelihood(kept[1]) if kept else np.inf
         if rise > 0:
@@ -260,7 +296,7 @@ def sweep(items: DataFrame, end: int, group: np.ndarray) -> tuple[np.ndarray, np
         moved = kept[0].copy()
         if rise >= RISE:
             # as many rows as items, which FREQUENT bounds
-            best = _better(counts, end, table).toArrow().to_pandas()
+            best = _moves(counts, end, table).toArrow().to_pandas()
             moved[best["item"].to_numpy(np.int64)] = best["class"].to_numpy(np.int64)
         remove(spark, path)
         if np.array_equal(moved, kept[0]):
